@@ -106,6 +106,9 @@ def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived table as a lazy DataFrame."""
     sources = {s: spark.read.parquet(f"{sf_dir}/{s}.parquet") for s in SOURCES[name]}
     text = _SQL[name].format(**_tokens("spark"))
+    if name == "station_obs":  # one small file becomes many rows: spread it first
+        tasks = spark.sparkContext.defaultParallelism
+        sources = {s: df.repartition(tasks, "s_suppkey") for s, df in sources.items()}
     for source in sources:
         text = text.replace(f"from {source}", f"from {{{source}}}")
     return spark.sql(text, **sources)

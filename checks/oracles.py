@@ -307,7 +307,8 @@ _WIDE = ", ".join(
         ],
     ]
 )
-_LCZ_ROW = f"""select id, any_value(x3857) as x3857, any_value(y3857) as y3857,
+_LCZ_ROW = f"""select id, round(any_value(x3857), {DIGITS}) + 0e0 as x3857,
+ round(any_value(y3857), {DIGITS}) + 0e0 as y3857,
  any_value("timestamp") as "timestamp", round(any_value(temperature), {DIGITS}) as temperature, {_WIDE}
  from class_ranks join lcz_points using (id) group by id"""
 

@@ -8,6 +8,7 @@ import thermotrack as tt
 from checks.inputs import lcz_polygons, spark_table
 from checks.oracles import CLEAN_END, CLEAN_START, DIGITS, RADIUS, SPLIT
 from thermotrack.functions.keys import TRACK, track_key
+from thermotrack.plans.checkpoints import checkpointed
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -49,7 +50,9 @@ def _triangles(spark, sf):
 
 
 def _mobile_inter(spark, sf):
-    return tt.interpolate_mobile(_mobile(spark, sf), _triangles(spark, sf), _obs(spark, sf))
+    """Interpolation reads its points twice, so the cleaned table is saved first."""
+    cleaned = checkpointed(_mobile(spark, sf))
+    return tt.interpolate_mobile(cleaned, _triangles(spark, sf), _obs(spark, sf))
 
 
 def _profile(spark, sf):
@@ -108,7 +111,7 @@ def _locate(spark, sf):
 
 
 def _observations(spark, sf):
-    points = _mobile(spark, sf).select("id", "lon", "lat", "timestamp")
+    points = checkpointed(_mobile(spark, sf).select("id", "lon", "lat", "timestamp"))
     located = tt.locate_in_triangles(points, _triangles(spark, sf), one_per_point=True)
     joined = tt.join_station_observations(located, _obs(spark, sf))
     vertices = F.array(
@@ -179,11 +182,11 @@ def _classes(spark, sf):
 
 
 def _minutes(spark, sf):
-    return tt.minute_profile(_mobile_inter(spark, sf))
+    return tt.minute_profile(checkpointed(_mobile_inter(spark, sf)))
 
 
 def _filled(spark, sf):
-    return tt.fill_linear(_minutes(spark, sf), ("sensor_t", "meteofrance_t"))
+    return tt.fill_linear(checkpointed(_minutes(spark, sf)), ("sensor_t", "meteofrance_t"))
 
 
 def _select_thermo(spark, sf):
@@ -214,10 +217,10 @@ _QUERIES = {
     "join_station_observations": _observations,
     "interpolate_mobile": _mobile_inter,
     "interpolate_meteo": lambda spark, sf: tt.interpolate_meteo(
-        _meteo(spark, sf), _triangles(spark, sf), _obs(spark, sf)
+        checkpointed(_meteo(spark, sf)), _triangles(spark, sf), _obs(spark, sf)
     ),
     "interpolate_reference": lambda spark, sf: tt.interpolate_reference(
-        _reference(spark, sf), _triangles(spark, sf), _obs(spark, sf)
+        checkpointed(_reference(spark, sf)), _triangles(spark, sf), _obs(spark, sf)
     ),
     "project_points_3857": _project_points,
     "overlap_fraction": _overlap(8),
@@ -226,7 +229,9 @@ _QUERIES = {
     "lcz_fractions": _lcz_fractions(8),
     "lcz_fractions_disc": _lcz_fractions(None),
     "transect_profile": _profile_rows,
-    "transect_summary": lambda spark, sf: tt.transect_summary(_profile(spark, sf)),
+    "transect_summary": lambda spark, sf: tt.transect_summary(
+        checkpointed(_profile(spark, sf))
+    ),
     "classify_difference": _classes,
     "minute_profile": _minutes,
     "fill_linear": _filled,

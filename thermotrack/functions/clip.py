@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 def rotated(ring: Column) -> Column:
     """The ring started at its second point, to pair each point with the next one."""
-    return F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
+    others = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.concat(F.slice(ring, 2, others), F.slice(ring, 1, 1))
 
 
 def ring_area2(ring: Column) -> Column:

@@ -110,9 +110,17 @@ def drop_duplicates_by_position(df: DataFrame) -> DataFrame:
     )
 
 
+# Track windows: rows are partitioned by (unique_id_track, slice). The key is a function of the
+# three track columns, so this serves windows over either, and a long track is spread over tasks.
+_SPREAD = ("unique_id_track", "_slice")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    return df.withColumn("_slice", time_slice(F.col("timestamp"))).repartition(*_SPREAD)
+
+
 def _with_previous(df: DataFrame, keys, before: int) -> DataFrame:
-    sliced = df.withColumn("_slice", time_slice(F.col("timestamp")))
-    return with_halo(sliced, keys, ("timestamp", "id"), "_slice", before)
+    return with_halo(df, keys, ("timestamp", "id"), "_slice", before, _SPREAD)
 
 
 def _track_window(keys):
@@ -131,13 +139,19 @@ def _lag_point(df: DataFrame, keys) -> DataFrame:
     return df.withColumns(lagged).withColumn("speed_m_s", _speed())
 
 
-def point_speed(df: DataFrame, keys=TRACK) -> DataFrame:
+def _point_speed(spread: DataFrame, keys) -> DataFrame:
+    lagged = _lag_point(_with_previous(spread.drop("speed_m_s"), keys, 1), keys)
+    return lagged.filter(~F.col("_halo")).drop("_halo")
+
+
+def point_speed(df: DataFrame) -> DataFrame:
     """Speed in m/s from the previous point of the track; NULL without one or when time stands.
 
     Keeps `prev_lon`, `prev_lat` and `prev_timestamp`.
     """
-    lagged = _lag_point(_with_previous(df.drop("speed_m_s"), keys, 1), keys)
-    return lagged.filter(~F.col("_halo")).drop("_halo", "_slice")
+    keyed = _spread(df.withColumn("unique_id_track", track_key()))
+    result = _point_speed(keyed, ("unique_id_track", *TRACK)).drop("_slice")
+    return result if "unique_id_track" in df.columns else result.drop("unique_id_track")
 
 
 def drop_stationary(df: DataFrame, keep_first: bool = False) -> DataFrame:
@@ -155,29 +169,29 @@ def drop_stationary(df: DataFrame, keep_first: bool = False) -> DataFrame:
 
 def recompute_speed(df: DataFrame) -> DataFrame:
     """Speed again, per unique_id_track, after points were dropped."""
-    again = point_speed(df, ("unique_id_track",))
-    return again.drop("prev_lon", "prev_lat", "prev_timestamp")
+    again = _point_speed(_spread(df), ("unique_id_track",))
+    return again.drop("_slice", "prev_lon", "prev_lat", "prev_timestamp")
 
 
 def smooth_speed(df: DataFrame, n: int = SMOOTHING_ROWS) -> DataFrame:
     """Mean speed over the row and its n-1 predecessors in the track; NULL speeds are skipped."""
     keys = ("unique_id_track",)
     frame = _track_window(keys).rowsBetween(-(n - 1), 0)
-    smoothed = _with_previous(df, keys, n - 1).withColumn(
+    smoothed = _with_previous(_spread(df), keys, n - 1).withColumn(
         "speed_m_s_smooth", F.avg("speed_m_s").over(frame)
     )
     return smoothed.filter(~F.col("_halo")).drop("_halo", "_slice")
 
 
-def _speed_and_smooth(df: DataFrame, n: int) -> DataFrame:
-    """recompute_speed and smooth_speed over one set of slices.
+def _speed_and_smooth(spread: DataFrame, n: int) -> DataFrame:
+    """recompute_speed and smooth_speed over one set of copies.
 
     The oldest copied row of a slice has no predecessor there and hence no speed, and no frame of
     an own row reaches it: n copied rows give n-1 speeds.
     """
     keys = ("unique_id_track",)
     frame = _track_window(keys).rowsBetween(-(n - 1), 0)
-    both = _lag_point(_with_previous(df.drop("speed_m_s"), keys, n), keys).withColumn(
+    both = _lag_point(_with_previous(spread.drop("speed_m_s"), keys, n), keys).withColumn(
         "speed_m_s_smooth", F.avg("speed_m_s").over(frame)
     )
     return both.filter(~F.col("_halo")).drop(
@@ -192,8 +206,11 @@ def clean_mobile(
     keep_first: bool = False,
     smooth_rows: int = SMOOTHING_ROWS,
 ) -> DataFrame:
-    """Mobile thermometers: per-second rows without duplicates and standstills, with speeds."""
+    """Mobile thermometers: per-second rows without duplicates and standstills, with speeds.
+
+    Three shuffles of the rows: per second and track, per place and second, per track and slice.
+    """
     unique = drop_duplicates_by_position(aggregate_by_second(df, max_accuracy, ref_pattern))
-    moving = drop_stationary(point_speed(unique), keep_first)
-    keyed = moving.withColumn("unique_id_track", track_key())
-    return _speed_and_smooth(keyed, smooth_rows)
+    keyed = _spread(unique.withColumn("unique_id_track", track_key()))
+    moving = drop_stationary(_point_speed(keyed, ("unique_id_track", *TRACK)), keep_first)
+    return _speed_and_smooth(moving, smooth_rows)

@@ -7,7 +7,7 @@ from thermotrack.functions.clip import clip_ring, ring_area2, rotated
 from thermotrack.functions.geo import mercator_x, mercator_y
 from thermotrack.functions.overlap import buffer_area, with_edge_area
 from thermotrack.plans.checkpoints import checkpointed
-from thermotrack.plans.sided_join import join_on_cell
+from thermotrack.plans.sided_join import BROADCAST_ROWS, join_on_cell
 
 # Class codes with a column of their own, and their groups.
 LCZ_CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 101, 102, 103, 104, 105, 106, 107)
@@ -22,6 +22,7 @@ QUAD_SEGS = 8  # a buffer drawn with 8 segments per quarter circle
 TOUCH = 1e-12  # a smaller share is a polygon that only touches the buffer
 RANK_DIGITS = 9
 FUSED_CLASSES = 200
+_CELL = ("cell_x", "cell_y")
 
 
 def project_points_3857(points: DataFrame) -> DataFrame:
@@ -66,7 +67,9 @@ def _clipped_edges(polygons: DataFrame, radius: float) -> DataFrame:
     turned = rings.select(
         *first_class, F.when(against, F.reverse("ring")).otherwise(F.col("ring")).alias("ring")
     )
-    pieces = turned
+    # Cutting is heavy for its few bytes of input, so the number of tasks is not left to AQE.
+    tasks = int(shaped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = turned.repartition(tasks, "poly_id")
     for axis in ("x", "y"):
         cell = f"cell_{axis}"
         number = [
@@ -81,7 +84,6 @@ def _clipped_edges(polygons: DataFrame, radius: float) -> DataFrame:
                 "ring", clip_ring(F.col("ring"), axis, (F.col(cell) + 1) * side + radius, False)
             )
             .drop("_range")
-            .filter(F.size("ring") >= 3)
         )
     ends = F.zip_with(
         "ring", rotated(F.col("ring")), lambda p, q: F.struct(p.alias("p"), q.alias("q"))
@@ -102,6 +104,12 @@ def _clipped_edges(polygons: DataFrame, radius: float) -> DataFrame:
 
 
 def _edge_areas(points: DataFrame, edges: DataFrame, radius: float, quad_segs) -> DataFrame:
+    """One row per point and edge under it.
+
+    For a broadcast join the points are spread by id while they are still one row each: the join
+    keeps that, so sums per point need no further shuffle and points of one place are not together
+    in one task. A shuffled join spreads by cell and salt, which serves the sums as well.
+    """
     side = 2.0 * radius
     celled = points.withColumns(
         {
@@ -109,7 +117,10 @@ def _edge_areas(points: DataFrame, edges: DataFrame, radius: float, quad_segs) -
             "cell_y": F.floor(F.col("y3857") / side).cast("bigint"),
         }
     )
-    joined = join_on_cell(celled, edges, ("cell_x", "cell_y"), "id", edges.count())
+    rows = edges.count()
+    if rows <= BROADCAST_ROWS:
+        celled = celled.repartition("id")
+    joined = join_on_cell(celled, edges, _CELL, "id", rows)
     relative = joined.withColumns(
         {
             "px": F.col("x1") - F.col("x3857"),
@@ -121,6 +132,11 @@ def _edge_areas(points: DataFrame, edges: DataFrame, radius: float, quad_segs) -
     return with_edge_area(relative, radius, quad_segs).drop("px", "py", "qx", "qy")
 
 
+def _partition_columns(areas: DataFrame) -> tuple[str, ...]:
+    """Functions of the point that a shuffled join is partitioned by, to be added to its keys."""
+    return (*_CELL, "_salt") if "_salt" in areas.columns else ()
+
+
 def overlap_fraction(
     points: DataFrame,
     polygons: DataFrame,
@@ -135,8 +151,9 @@ def overlap_fraction(
     areas = _edge_areas(narrow, edges, radius, quad_segs)
     whole = buffer_area(radius, quad_segs)
     return (
-        areas.groupBy("id", "poly_id", "lcz_primary")
+        areas.groupBy(*_partition_columns(areas), "id", "poly_id", "lcz_primary")
         .agg((F.sum("area") / whole).alias("lcz_fraction"))
+        .select("id", "poly_id", "lcz_primary", "lcz_fraction")
         .filter(F.col("lcz_fraction") > TOUCH)
     )
 
@@ -211,9 +228,7 @@ def lcz_fractions(
     code = F.col("lcz_primary")
     sums = [(F.sum(F.when(code == c, F.col("area"))) / whole).alias(f"_f{c}") for c in codes]
     sums = sums or [F.count("*").alias("_none")]
-    # The cell is a function of the point. As a key it lets Spark keep the partitioning of a
-    # shuffled cell join; after a broadcast join one row per point and task is shuffled.
-    grouped = areas.groupBy("cell_x", "cell_y", *kept).agg(*sums)
+    grouped = areas.groupBy(*_partition_columns(areas), *kept).agg(*sums)
     real = {c: F.when(F.col(f"_f{c}") > TOUCH, F.col(f"_f{c}")) for c in codes}
     order = F.array_sort(
         F.array_compact(

@@ -141,7 +141,9 @@ def minute_profile(
     )
     span = means.groupBy(*by).agg(F.min("_step").alias("_lo"), F.max("_step").alias("_hi"))
     day = F.floor(F.col("_lo") / DAY_SECONDS), F.floor(F.col("_hi") / DAY_SECONDS)
-    days = span.withColumn("_day", F.explode(F.sequence(*day)) * DAY_SECONDS)
+    days = span.withColumn("_day", F.explode(F.sequence(*day))).withColumn(
+        "_day", F.col("_day") * DAY_SECONDS
+    )
     first = F.greatest("_lo", "_day")
     last = F.least(F.col("_hi"), F.col("_day") + (DAY_SECONDS - step_seconds))
     grid = days.select(

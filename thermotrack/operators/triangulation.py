@@ -122,7 +122,7 @@ def _triangulate_level(active: DataFrame, level: int, extent) -> DataFrame:
     side = _side(extent) / (1 << level)
     x0, y0 = extent["x0"], extent["y0"]
 
-    def one_tile(key, tile: pd.DataFrame) -> pd.DataFrame:
+    def one_tile(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
         ids, xs, ys = (tile[c].tolist() for c in ("id", "x", "y"))
         todo = dict(zip(ids, tile["todo"].tolist(), strict=True))
         place = {i: (px, py) for i, px, py in zip(ids, xs, ys, strict=True)}

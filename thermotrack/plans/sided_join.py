@@ -9,11 +9,12 @@ SALTS = 32
 
 def join_on_cell(large: DataFrame, small: DataFrame, keys, large_id: str, small_rows: int):
     """Inner equi-join. A counted small side is broadcast, so the large side does not move and a
-    hot cell costs nothing. Beyond the bound both sides are shuffled on (cell, salt): rows of one
-    hot cell are spread over SALTS tasks and the small side is repeated that many times.
+    hot cell costs nothing. Beyond the bound both sides are shuffled on (cell, _salt): rows of one
+    hot cell are spread over SALTS tasks and the small side is repeated that many times. The column
+    `_salt` stays, to let later groupings by it keep the partitioning.
     """
     if small_rows <= BROADCAST_ROWS:
         return large.join(F.broadcast(small), list(keys))
     salted = large.withColumn("_salt", F.pmod(F.xxhash64(large_id), F.lit(SALTS)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
-    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+    return salted.join(repeated, [*keys, "_salt"])

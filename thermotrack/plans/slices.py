@@ -39,13 +39,15 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner")
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def with_halo(df: DataFrame, keys, order, slice_col: str, before: int) -> DataFrame:
+def with_halo(df: DataFrame, keys, order, slice_col: str, before: int, spread) -> DataFrame:
     """Add to each slice copies of the `before` rows of its series that come just before it.
 
     Copies carry `_halo` = true and the slice they were copied into. A frame of up to `before`
     preceding rows over (keys, slice_col) is then exact for all rows with `_halo` = false.
-    Only the last rows of each slice take part in the second shuffle; Spark drops the others
-    before the first one (row_number() <= n becomes a group limit on the map side).
+
+    df must be partitioned by the columns `spread`, a part of (keys, slice_col). The copies, at
+    most `before` per slice, are brought to the same partitioning, and the union keeps it: windows
+    over (keys, slice_col) then need no further shuffle of df itself.
     """
     in_slice = Window.partitionBy(*keys, slice_col).orderBy(*descending(order))
     tails = (
@@ -60,6 +62,7 @@ def with_halo(df: DataFrame, keys, order, slice_col: str, before: int) -> DataFr
         .withColumn(slice_col, F.explode("_targets"))
         .drop("_targets")
         .withColumn("_halo", F.lit(True))
+        .repartition(*spread)
     )
     return df.withColumn("_halo", F.lit(False)).unionByName(copies)
 
