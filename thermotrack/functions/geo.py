@@ -39,10 +39,10 @@ def same_point(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column
     return (lon1 == lon2) & (lat1 == lat2)
 
 
-def edge_side(u: Column, v: Column, x: Column, y: Column) -> Column:
+def edge_side(ux: Column, uy: Column, vx: Column, vy: Column, x: Column, y: Column) -> Column:
     """Twice the signed area of (u, v, point); zero exactly when the point is u or v.
 
     Callers give the edge in one fixed direction (lower station id first), so the two triangles
     that share an edge see one and the same number and no point falls between them.
     """
-    return (v["x"] - u["x"]) * (y - u["y"]) - (v["y"] - u["y"]) * (x - u["x"])
+    return (vx - ux) * (y - uy) - (vy - uy) * (x - ux)

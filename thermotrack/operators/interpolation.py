@@ -26,9 +26,13 @@ REFERENCE_CARRY = ("thermo_name", "sensor_name", "unique_id_track")
 _VERTICES = ("a", "b", "c")
 
 
+def _edge_side(u: str, v: str, x: Column, y: Column) -> Column:
+    return edge_side(*[F.col(f"{axis}_{end}") for end in (u, v) for axis in ("x", "y")], x, y)
+
+
 def _with_owners(triangles: DataFrame) -> DataFrame:
     """For each vertex and edge, whether this triangle is the lowest-numbered one that has it."""
-    corner = {v: F.col(v)["station"] for v in _VERTICES}
+    corner = {v: F.col(f"sta_{v}") for v in _VERTICES}
     ends = {v: (corner[v], corner[v]) for v in _VERTICES} | {
         u + v: (corner[u], corner[v]) for u, v in (("a", "b"), ("b", "c"), ("a", "c"))
     }
@@ -56,10 +60,10 @@ def _cells(triangles: DataFrame) -> DataFrame:
     however uneven the stations are spread. Sides are powers of four.
     """
     def low(axis):
-        return F.least(*[F.col(v)[axis] for v in _VERTICES])
+        return F.least(*[f"{axis}_{v}" for v in _VERTICES])
 
     def high(axis):
-        return F.greatest(*[F.col(v)[axis] for v in _VERTICES])
+        return F.greatest(*[f"{axis}_{v}" for v in _VERTICES])
 
     def spread(axis):
         first = F.floor(low(axis) / F.col("side")).cast("bigint")
@@ -67,9 +71,7 @@ def _cells(triangles: DataFrame) -> DataFrame:
         return F.explode(F.sequence(first, last))
 
     size = F.greatest(high("x") - low("x"), high("y") - low("y"))
-    twice = (F.col("b")["x"] - F.col("a")["x"]) * (F.col("c")["y"] - F.col("a")["y"]) - (
-        F.col("b")["y"] - F.col("a")["y"]
-    ) * (F.col("c")["x"] - F.col("a")["x"])
+    twice = _edge_side("a", "b", F.col("x_c"), F.col("y_c"))
     return (
         triangles.withColumn("twice", twice)
         .filter(F.col("twice") != 0)
@@ -92,7 +94,12 @@ def locate_in_triangles(
     """
     sorted_vertices = F.array_sort(F.array(*_VERTICES))
     ordered = triangles.withColumn("_v", sorted_vertices).select(
-        "id_triangle", *[F.col("_v")[k].alias(v) for k, v in enumerate(_VERTICES)]
+        "id_triangle",
+        *[
+            F.col("_v")[k][field].alias(f"{name}_{v}")
+            for k, v in enumerate(_VERTICES)
+            for field, name in (("station", "sta"), ("x", "x"), ("y", "y"))
+        ],
     )
     if one_per_point:
         ordered = _with_owners(ordered)
@@ -114,8 +121,7 @@ def locate_in_triangles(
     joined = join_on_cell(keyed, cells, keys, "id", sum(r["count"] for r in counts))
 
     def share(u, v, direction):
-        side = edge_side(F.col(u), F.col(v), F.col("lon"), F.col("lat"))
-        return direction * side / F.col("twice")
+        return direction * _edge_side(u, v, F.col("lon"), F.col("lat")) / F.col("twice")
 
     weighted = joined.withColumns(
         {"w_a": share("b", "c", 1), "w_b": share("a", "c", -1), "w_c": share("a", "b", 1)}
@@ -131,10 +137,8 @@ def locate_in_triangles(
             .when(zero["c"], F.col("own_ab"))
             .otherwise(True)
         )
-    stations = [F.col(v)["station"].alias(f"sta_{v}") for v in _VERTICES]
-    return weighted.select(
-        *points.columns, "id_triangle", *stations, *[f"w_{v}" for v in _VERTICES]
-    )
+    added = [f"{name}_{v}" for name in ("sta", "w") for v in _VERTICES]
+    return weighted.select(*points.columns, "id_triangle", *added)
 
 
 def join_station_observations(

@@ -76,8 +76,10 @@ def _side(extent) -> float:
     return max(extent["x1"] - extent["x0"], extent["y1"] - extent["y0"]) or 1.0
 
 
-def _triangulate_tiles(points: DataFrame, extent, tile_points: int) -> DataFrame:
-    """Bottom-up over the levels; each level is one job whose result is checkpointed."""
+def leaf_tiles(points: DataFrame, extent, tile_points: int) -> DataFrame:
+    """Points with their cell and `leaf`, the coarsest level at which their tile holds at most
+    tile_points points.
+    """
     cells = 1 << DEEPEST_LEVEL
     side = _side(extent)
 
@@ -98,13 +100,16 @@ def _triangulate_tiles(points: DataFrame, extent, tile_points: int) -> DataFrame
         .agg(F.count("*").alias("n"))
         .filter((F.col("n") <= tile_points) | (F.col("leaf") == DEEPEST_LEVEL))
     )
-    leaves = (
+    return (
         per_level.join(fitting, ["leaf", "tx", "ty"])
         .groupBy("id", "x", "y", "cx", "cy")
         .agg(F.min("leaf").alias("leaf"))
-        .withColumn("todo", F.lit(True))
     )
-    waiting = checkpointed(leaves)
+
+
+def _triangulate_tiles(points: DataFrame, extent, tile_points: int) -> DataFrame:
+    """Bottom-up over the levels; each level is one job whose result is checkpointed."""
+    waiting = checkpointed(leaf_tiles(points, extent, tile_points).withColumn("todo", F.lit(True)))
     found = None
     for level in range(waiting.agg(F.max("leaf")).first()[0], -1, -LEVEL_STEP):
         active = waiting.filter(F.col("leaf") >= level)
