@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from thermotrack.functions.geo import edge_side
 from thermotrack.functions.times import epoch_us
-from thermotrack.plans.sided_join import join_on_cell
+from thermotrack.plans.checkpoints import checkpointed
+from thermotrack.plans.sided_join import BROADCAST_ROWS, join_on_cell, shuffled
 
 # Report step of the stations in seconds, temperature change per metre.
 REPORT_SECONDS = 360
@@ -103,7 +104,7 @@ def locate_in_triangles(
     )
     if one_per_point:
         ordered = _with_owners(ordered)
-    cells = _cells(ordered)
+    cells = checkpointed(_cells(ordered))
     counts = cells.groupBy("level").count().collect()  # a few rows, one per power of four
     sides = [
         F.struct(F.lit(r["level"]).alias("level"), F.lit(2.0 ** r["level"]).alias("side"))
@@ -154,13 +155,16 @@ def join_station_observations(
 
     Points are not multiplied by vertices. The distinct (triangle, time bucket) pairs that occur
     are looked up in the reports, and each point then meets the few reports of its pair: those of
-    three stations in two buckets.
+    three stations in two buckets. Pairs and their reports are saved and counted: while they are
+    few they are broadcast, and then neither the reports nor the points are shuffled.
     """
     window_us = window_seconds * 1_000_000
     bucketed = located.withColumn("_us", epoch_us(F.col(ts))).withColumn(
         "_bucket", F.floor(F.col("_us") / window_us).cast("bigint")
     )
-    pairs = bucketed.select("id_triangle", "_bucket", "sta_a", "sta_b", "sta_c").distinct()
+    pairs = checkpointed(
+        bucketed.select("id_triangle", "_bucket", "sta_a", "sta_b", "sta_c").distinct()
+    )
     wanted = (
         pairs.select(
             "id_triangle",
@@ -175,11 +179,15 @@ def join_station_observations(
         F.col("t_ground_0").cast("double").alias("t_ground_0"),
         F.col("delta_t").cast("double").alias("delta_t"),
     ).withColumn("_report_bucket", F.floor(F.col("us") / window_us).cast("bigint"))
-    found = (
-        wanted.join(reports, ["_station", "_report_bucket"])
+    few = 6 * pairs.count() <= BROADCAST_ROWS
+    sided = F.broadcast(wanted) if few else shuffled(wanted)
+    found = checkpointed(
+        reports.join(sided, ["_station", "_report_bucket"])
         .groupBy("id_triangle", "_bucket")
         .agg(F.collect_list(F.struct("us", "t_ground_0", "delta_t", "vertex")).alias("_reports"))
     )
+    reports_found = found.agg(F.sum(F.size("_reports") + 1)).first()[0] or 0
+    found = F.broadcast(found) if reports_found <= BROADCAST_ROWS else shuffled(found)
 
     def latest(k) -> Column:
         usable = F.filter(

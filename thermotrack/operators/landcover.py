@@ -50,12 +50,21 @@ def _range(axis: str) -> list[Column]:
     return [F.array_min(values).alias("lo"), F.array_max(values).alias("hi")]
 
 
+def _clipped(axis: str, bound: Column, keep_above: bool) -> Column:
+    """The ring cut at the bound, or as it is where its extent lies on the right side already."""
+    reach = F.col("_range.lo") >= bound if keep_above else F.col("_range.hi") <= bound
+    return F.when(reach, F.col("ring")).otherwise(
+        clip_ring(F.col("ring"), axis, bound, keep_above)
+    )
+
+
 def _clipped_edges(polygons: DataFrame, radius: float) -> DataFrame:
     """Polygon edges per grid cell: each ring cut to every cell widened by the radius.
 
     The whole buffer of a point lies in the widened cell of the point, so a point needs only the
     edges under its one cell; a large polygon is never carried around whole. Shells run
-    counter-clockwise and holes clockwise.
+    counter-clockwise and holes clockwise. Each edge has the extent of its piece, by which pieces
+    beside the buffer are left out before any area is computed.
     """
     shaped = polygons if "rings_3857" in polygons.columns else project_rings_3857(polygons)
     side = 2.0 * radius
@@ -79,21 +88,22 @@ def _clipped_edges(polygons: DataFrame, radius: float) -> DataFrame:
         pieces = (
             pieces.withColumn("_range", F.struct(*_range(axis)))
             .withColumn(cell, F.explode(F.sequence(*number)))
-            .withColumn("ring", clip_ring(F.col("ring"), axis, F.col(cell) * side - radius, True))
-            .withColumn(
-                "ring", clip_ring(F.col("ring"), axis, (F.col(cell) + 1) * side + radius, False)
-            )
+            .withColumn("ring", _clipped(axis, F.col(cell) * side - radius, True))
+            .withColumn("ring", _clipped(axis, (F.col(cell) + 1) * side + radius, False))
             .drop("_range")
         )
     ends = F.zip_with(
         "ring", rotated(F.col("ring")), lambda p, q: F.struct(p.alias("p"), q.alias("q"))
     )
+    extent = ("x_lo", "x_hi", "y_lo", "y_hi")
+    bounds = [c.alias(n) for c, n in zip(_range("x") + _range("y"), extent, strict=True)]
     return (
-        pieces.select(*first_class, "cell_x", "cell_y", F.explode(ends).alias("e"))
+        pieces.select(*first_class, *_CELL, F.struct(*bounds).alias("b"), "ring")
+        .select(*first_class, *_CELL, "b", F.explode(ends).alias("e"))
         .select(
             *first_class,
-            "cell_x",
-            "cell_y",
+            *_CELL,
+            *[F.col("b")[n].alias(n) for n in extent],
             F.col("e.p.x").alias("x1"),
             F.col("e.p.y").alias("y1"),
             F.col("e.q.x").alias("x2"),
@@ -120,7 +130,12 @@ def _edge_areas(points: DataFrame, edges: DataFrame, radius: float, quad_segs) -
     rows = edges.count()
     if rows <= BROADCAST_ROWS:
         celled = celled.repartition("id")
-    joined = join_on_cell(celled, edges, _CELL, "id", rows)
+    joined = join_on_cell(celled, edges, _CELL, "id", rows).filter(
+        (F.col("x3857") + radius > F.col("x_lo"))
+        & (F.col("x3857") - radius < F.col("x_hi"))
+        & (F.col("y3857") + radius > F.col("y_lo"))
+        & (F.col("y3857") - radius < F.col("y_hi"))
+    )
     relative = joined.withColumns(
         {
             "px": F.col("x1") - F.col("x3857"),
@@ -128,7 +143,7 @@ def _edge_areas(points: DataFrame, edges: DataFrame, radius: float, quad_segs) -
             "qx": F.col("x2") - F.col("x3857"),
             "qy": F.col("y2") - F.col("y3857"),
         }
-    ).drop("x1", "y1", "x2", "y2")
+    ).drop("x1", "y1", "x2", "y2", "x_lo", "x_hi", "y_lo", "y_hi")
     return with_edge_area(relative, radius, quad_segs).drop("px", "py", "qx", "qy")
 
 

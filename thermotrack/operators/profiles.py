@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermotrack.functions.times import epoch_us, local_time
+from thermotrack.plans.sided_join import join_summary
 from thermotrack.plans.slices import (
     ascending,
     descending,
@@ -100,7 +101,7 @@ def transect_summary(profile: DataFrame, by=("thermo_name",), ts: str = "timesta
     )
     ordered = Window.partitionBy(*keys, "_slice").orderBy(*ascending(("mid_timestamp", "id")))
     candidates = sliced.select(*keys, "_slice", F.col(ts).alias("mid_timestamp"), "id")
-    joined = join_null_safe(candidates, located, (*keys, "_slice"))
+    joined = join_summary(candidates, located, (*keys, "_slice"))
     return (
         joined.withColumn("_rank", F.row_number().over(ordered))
         .filter(F.col("_rank") == F.col("_middle") + 1)
@@ -203,7 +204,7 @@ def fill_linear(
         {f"_prev_{c}": F.last(known(c), True).over(forward) for c in columns}
         | {f"_next_{c}": F.last(known(c), True).over(backward) for c in columns}
     )
-    joined = join_null_safe(inside, carried, keys)
+    joined = join_summary(inside, carried, keys)
     position = F.col("_row") + F.col("_offset")
 
     def filled(c):

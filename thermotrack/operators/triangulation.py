@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from thermotrack.functions.delaunay import local_delaunay
 from thermotrack.plans.checkpoints import checkpointed
+from thermotrack.plans.sided_join import shuffled
 from thermotrack.plans.slices import slice_offsets
 
 TILE_POINTS = 2000
@@ -52,6 +53,8 @@ def delaunay_triangles(
         F.max("x").alias("x1"),
         F.min("y").alias("y0"),
         F.max("y").alias("y1"),
+        F.min("id").alias("lowest"),
+        F.max("id").alias("highest"),
     ).first()
     if extent["n"] <= tile_points:
         root = points.withColumns(
@@ -69,7 +72,8 @@ def delaunay_triangles(
             ("c", "sc", "cxx", "cyy"),
         )
     ]
-    return checkpointed(_numbered(found.select(*vertices)))
+    saved = checkpointed(found.select(*vertices))  # numbering reads it twice
+    return checkpointed(_numbered(saved, extent["lowest"] or 0, extent["highest"] or 0))
 
 
 def _side(extent) -> float:
@@ -101,7 +105,7 @@ def leaf_tiles(points: DataFrame, extent, tile_points: int) -> DataFrame:
         .filter((F.col("n") <= tile_points) | (F.col("leaf") == DEEPEST_LEVEL))
     )
     return (
-        per_level.join(fitting, ["leaf", "tx", "ty"])
+        per_level.join(shuffled(fitting), ["leaf", "tx", "ty"])
         .groupBy("id", "x", "y", "cx", "cy")
         .agg(F.min("leaf").alias("leaf"))
     )
@@ -184,10 +188,8 @@ def _circle_inside(corners, left: float, bottom: float, side: float) -> bool:
     )
 
 
-def _numbered(triangles: DataFrame) -> DataFrame:
+def _numbered(triangles: DataFrame, low: int, high: int) -> DataFrame:
     """Add id_triangle = 1..n in the order of the station ids, by blocks of the lowest id."""
-    span = triangles.agg(F.min("a.station"), F.max("a.station")).first()
-    low, high = (span[0] or 0, span[1] or 0)
     width = (high - low) // ID_BLOCKS + 1
     blocked = triangles.withColumn("_block", F.floor((F.col("a.station") - low) / width))
     sizes = blocked.groupBy("_block").agg(F.count("*").alias("_n"))

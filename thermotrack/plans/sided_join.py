@@ -1,8 +1,11 @@
-"""Joining a large side to a small one on a cell key, by the measured size of the small one."""
+"""Joining a large side to a small one by the measured size of the small one."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thermotrack.plans.checkpoints import checkpointed
+from thermotrack.plans.slices import join_null_safe
+
 BROADCAST_ROWS = 1_500_000  # rows of some 100 bytes: at most about 150 MB in each executor
 SALTS = 32
 
@@ -17,4 +20,18 @@ def join_on_cell(large: DataFrame, small: DataFrame, keys, large_id: str, small_
         return large.join(F.broadcast(small), list(keys))
     salted = large.withColumn("_salt", F.pmod(F.xxhash64(large_id), F.lit(SALTS)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
-    return salted.join(repeated, [*keys, "_salt"])
+    return salted.join(shuffled(repeated), [*keys, "_salt"])
+
+
+def shuffled(small: DataFrame) -> DataFrame:
+    """Keep Spark from broadcasting a frame whose size it guesses from the small file it came from."""
+    return small.hint("merge")
+
+
+def join_summary(large: DataFrame, summary: DataFrame, keys) -> DataFrame:
+    """Null-safe inner join with a per-slice or per-series summary, which is saved and counted: a
+    short one is broadcast, so the large side keeps its place; a long one is shuffled.
+    """
+    saved = checkpointed(summary)
+    few = saved.count() <= BROADCAST_ROWS
+    return join_null_safe(large, F.broadcast(saved) if few else shuffled(saved), keys)
