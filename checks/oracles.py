@@ -428,6 +428,10 @@ def _class_case(value) -> str:
     return f"case when diff is null then null {inner} else {value(9)} end"
 
 
+_LOCATED = [*_MOBILE, *_TRIANGLES, ("located", _located("mobile", "p.id, p.lon, p.lat"))]
+_PER_DEGREE = "111319.49079327358e0"
+
+
 def oracle_sql() -> dict[str, str]:
     cleaned = _r(*_MOBILE_DOUBLES)
     return {
@@ -447,6 +451,13 @@ def oracle_sql() -> dict[str, str]:
         + f' select id, {TRACK}, "timestamp", {cleaned} from uniq',
         "point_speed": _with(*_MOBILE[:5])
         + f' select id, {TRACK}, "timestamp", {_r("lon", "lat", "prev_lon", "prev_lat", "speed_m_s")} from speeds',
+        "drop_stationary": _with(*_MOBILE[:5])
+        + f""" select id, {TRACK}, "timestamp", {_r("lon", "lat", "speed_m_s")} from speeds
+ where lon <> prev_lon or lat <> prev_lat""",
+        "recompute_speed": _with(*_MOBILE[:8])
+        + f' select id, unique_id_track, "timestamp", {_r("speed_m_s")} from speeds2',
+        "smooth_speed": _with(*_MOBILE)
+        + f' select id, unique_id_track, "timestamp", {_r("speed_m_s_smooth")} from mobile',
         "clean_mobile": _with(*_MOBILE)
         + f""" select id, {TRACK}, "timestamp", unique_id_track,
  {_r(*_MOBILE_DOUBLES, "speed_m_s", "speed_m_s_smooth")} from mobile""",
@@ -454,6 +465,9 @@ def oracle_sql() -> dict[str, str]:
         + f' select id, {TRACK}, "timestamp", unique_id_track, {cleaned} from reference',
         "track_keys": _with(*_raw("mobile_raw"))
         + f" select {TRACK}, {KEY} as unique_id_track, count(*) as points from mobile_raw group by all",
+        "union_sources": _with(*_raw("mobile_raw", "meteo_raw"))
+        + """ select round(temperature, 6) as temperature, "timestamp" from mobile_raw
+ union all select round(temperature, 6), "timestamp" from meteo_raw""",
         "biometeo_index": _with(*_MOBILE, *_METEO, _BOTH, *_heat("both_sources", ""))
         + " select day, round(tn, 6) as tn, round(tx, 6) as tx, cast(ibm as double) as ibm from heat",
         "biometeo_index_by_thermo": _with(*_MOBILE, *_heat("mobile", "thermo_name"))
@@ -470,11 +484,23 @@ def oracle_sql() -> dict[str, str]:
         + f""" select id_triangle, v.k as id_pt, v.n as numer_insee, round(v.x, 6) as lon,
  round(v.y, 6) as lat from tri, unnest([{{'k': 1, 'n': na, 'x': xa, 'y': ya}},
  {{'k': 2, 'n': nb, 'x': xb, 'y': yb}}, {{'k': 3, 'n': nc, 'x': xc, 'y': yc}}]) as u(v)""",
-        "locate_in_triangles": _with(
-            *_MOBILE, *_TRIANGLES, ("located", _located("mobile", "p.id, p.lon, p.lat"))
+        "attach_station_id": _with(
+            *_TRIANGLES,
+            (
+                "corners",
+                """select id_triangle, unnest([1, 2, 3, 4]) as id_pt, unnest([xa, xb, xc, xa]) as x,
+ unnest([ya, yb, yc, ya]) as y from tri""",
+            ),
         )
+        + """ select id_triangle, id_pt, n as numer_insee, round(c.x, 6) as lon, round(c.y, 6) as lat
+ from corners c left join s on c.x = s.x and c.y = s.y""",
+        "locate_in_triangles": _with(*_LOCATED)
         + f""" select id, id_triangle, na as sta_a, nb as sta_b, nc as sta_c,
  {_r("lon", "lat")} from located""",
+        "pick_one_per_id": _with(*_LOCATED)
+        + " select id, min(id_triangle) as id_triangle from located group by id",
+        "interpolate_plane": _with(*_MOBILE_INTER)
+        + f' select id, id_triangle, {_r("t_inter")} from inter',
         "join_station_observations": _with(*_MOBILE_INTER)
         + """ select id, id_triangle, n as numer_sta, round(t0, 6) as t_ground_0,
  round(dt, 6) as delta_t, round(weight, 6) + 0e0 as time_interp_weight from reports""",
@@ -486,6 +512,23 @@ def oracle_sql() -> dict[str, str]:
         "project_points_3857": _with(*_raw("mobile_raw"))
         + """ select id, round(lon * 20037508.342789244e0 / 180e0, 3) as x3857,
  round(6378137e0 * asinh(tan(radians(lat))), 3) as y3857 from mobile_raw""",
+        "project_rings_3857": _with(
+            *_raw("lcz_rects"),
+            (
+                "corners",
+                """select poly_id, part, unnest([1, 2, 3, 4, 5]) as corner,
+ unnest([x0, x1, x1, x0, x0]) as x, unnest([y0, y0, y1, y1, y0]) as y from lcz_rects""",
+            ),
+        )
+        + f""" select poly_id, cast(part as int) as part, cast(corner as int) as corner,
+ round(x, 3) as x3857, round(6378137e0 * asinh(tan(radians(y / {_PER_DEGREE}))), 3) + 0e0 as y3857
+ from corners""",
+        "intersecting_polygons": _with(*_LCZ_32)
+        + " select id, poly_id, lcz_primary from overlap where lcz_fraction > 1e-9",
+        "fraction_by_class": _with(*_LCZ_32, *_BY_CLASS)
+        + f' select id, lcz_primary, {_r("lcz_fraction_sum")} from by_class',
+        "pivot_classes": _with(*_LCZ_32, *_BY_CLASS)
+        + f" select id, {_WIDE} from class_ranks group by id",
         "overlap_fraction": _with(*_LCZ_32)
         + f""" select id, poly_id, lcz_primary, {_r("lcz_fraction")} from overlap
  where lcz_fraction > 1e-9""",
@@ -493,7 +536,7 @@ def oracle_sql() -> dict[str, str]:
         + f""" select id, poly_id, lcz_primary, {_r("lcz_fraction")} from overlap
  where lcz_fraction > 1e-9""",
         "rank_classes": _with(*_LCZ_32, *_BY_CLASS)
-        + f' select id, lcz_primary, rn, {_r("lcz_fraction_sum")} from class_ranks',
+        + f' select id, lcz_primary, cast(rn as int) as rn, {_r("lcz_fraction_sum")} from class_ranks',
         "lcz_fractions": _with(*_LCZ_32, *_BY_CLASS) + " " + _LCZ_ROW,
         "lcz_fractions_disc": _with(*_LCZ_DISC, *_BY_CLASS) + " " + _LCZ_ROW,
         "transect_profile": _with(*_PROFILE)

@@ -10,6 +10,8 @@ from checks.oracles import CLEAN_END, CLEAN_START, DIGITS, RADIUS, SPLIT
 from thermotrack.functions.keys import TRACK, track_key
 from thermotrack.plans.checkpoints import checkpointed
 
+PER_DEGREE = 111319.49079327358  # EPSG:3857 units per degree on the equator
+
 
 def _rounded(df: DataFrame) -> DataFrame:
     """Doubles to DIGITS decimals, decimals to doubles; adding zero turns -0.0 into 0.0."""
@@ -77,13 +79,36 @@ def _hour_range_stats_meteo(spark, sf):
     return tt.hour_amplitude(stats)
 
 
-def _point_speed(spark, sf):
+def _speeds(spark, sf):
     unique = tt.drop_duplicates_by_position(tt.aggregate_by_second(_mobile_raw(spark, sf)))
-    return tt.point_speed(unique).select(
+    return tt.point_speed(unique)
+
+
+def _point_speed(spark, sf):
+    return _speeds(spark, sf).select(
         "id", *TRACK, "timestamp", "lon", "lat", "prev_lon", "prev_lat", "speed_m_s"
     )
 
 
+def _drop_stationary(spark, sf):
+    moving = tt.drop_stationary(_speeds(spark, sf))
+    return moving.select("id", *TRACK, "timestamp", "lon", "lat", "speed_m_s")
+
+
+def _recomputed(spark, sf):
+    keyed = tt.drop_stationary(_speeds(spark, sf)).withColumn("unique_id_track", track_key())
+    return tt.recompute_speed(keyed)
+
+
+def _recompute_speed(spark, sf):
+    return _recomputed(spark, sf).select("id", "unique_id_track", "timestamp", "speed_m_s")
+
+
+def _smooth_speed(spark, sf):
+    smoothed = tt.smooth_speed(_recomputed(spark, sf))
+    return smoothed.select("id", "unique_id_track", "timestamp", "speed_m_s_smooth")
+
+
 def _track_keys(spark, sf):
     keyed = _mobile_raw(spark, sf).withColumn("unique_id_track", track_key())
     return keyed.groupBy(*TRACK, "unique_id_track").agg(F.count("*").alias("points"))
@@ -104,16 +129,33 @@ def _flat_triangles(spark, sf):
     )
 
 
+def _attach_station_id(spark, sf):
+    vertices = tt.triangle_vertices(_triangles(spark, sf), closed=True).drop("numer_insee")
+    return tt.attach_station_id(vertices, _stations(spark, sf))
+
+
+def _located(spark, sf):
+    points = _mobile(spark, sf).select("id", "lon", "lat", "timestamp", "elevation")
+    return tt.locate_in_triangles(checkpointed(points), _triangles(spark, sf))
+
+
 def _locate(spark, sf):
-    points = _mobile(spark, sf).select("id", "lon", "lat", "timestamp")
-    located = tt.pick_one_per_id(tt.locate_in_triangles(points, _triangles(spark, sf)))
-    return located.select("id", "lon", "lat", "id_triangle", "sta_a", "sta_b", "sta_c")
+    return _located(spark, sf).select(
+        "id", "lon", "lat", "id_triangle", "sta_a", "sta_b", "sta_c"
+    )
+
+
+def _pick_one(spark, sf):
+    return tt.pick_one_per_id(_located(spark, sf)).select("id", "id_triangle")
+
+
+def _plane(spark, sf):
+    joined = tt.join_station_observations(_located(spark, sf), _obs(spark, sf))
+    return tt.interpolate_plane(joined).select("id", "id_triangle", "t_inter")
 
 
 def _observations(spark, sf):
-    points = checkpointed(_mobile(spark, sf).select("id", "lon", "lat", "timestamp"))
-    located = tt.locate_in_triangles(points, _triangles(spark, sf), one_per_point=True)
-    joined = tt.join_station_observations(located, _obs(spark, sf))
+    joined = tt.join_station_observations(_located(spark, sf), _obs(spark, sf))
     vertices = F.array(
         *[
             F.when(
@@ -133,6 +175,33 @@ def _project_points(spark, sf):
     return moved.select("id", F.round("x3857", 3).alias("x3857"), F.round("y3857", 3).alias("y3857"))
 
 
+def _project_rings(spark, sf):
+    def degrees(p):
+        return F.struct((p["x"] / PER_DEGREE).alias("x"), (p["y"] / PER_DEGREE).alias("y"))
+
+    rings = F.transform("rings_3857", lambda ring: F.transform(ring, degrees))
+    layer = lcz_polygons(spark, sf).withColumn("rings", rings).drop("rings_3857")
+    parts = tt.project_rings_3857(layer).select(
+        "poly_id", F.posexplode("rings_3857").alias("part", "ring")
+    )
+    corners = parts.select("poly_id", "part", F.posexplode("ring").alias("corner", "p"))
+    return corners.select(
+        "poly_id",
+        "part",
+        (F.col("corner") + 1).alias("corner"),
+        F.round("p.x", 3).alias("x3857"),
+        F.round("p.y", 3).alias("y3857"),
+    )
+
+
+def _union_sources(spark, sf):
+    return tt.union_sources(_mobile_raw(spark, sf), _meteo_raw(spark, sf))
+
+
+def _intersecting(spark, sf):
+    return tt.intersecting_polygons(_lcz_points(spark, sf), lcz_polygons(spark, sf), RADIUS)
+
+
 def _overlap(quad_segs):
     def query(spark, sf):
         return tt.overlap_fraction(_lcz_points(spark, sf), lcz_polygons(spark, sf), RADIUS, quad_segs)
@@ -203,9 +272,13 @@ _QUERIES = {
         tt.aggregate_by_second(_mobile_raw(spark, sf))
     ),
     "point_speed": _point_speed,
+    "drop_stationary": _drop_stationary,
+    "recompute_speed": _recompute_speed,
+    "smooth_speed": _smooth_speed,
     "clean_mobile": _mobile,
     "clean_reference": _reference,
     "track_keys": _track_keys,
+    "union_sources": _union_sources,
     "biometeo_index": _biometeo_index,
     "biometeo_index_by_thermo": lambda spark, sf: tt.biometeo_index(
         _mobile(spark, sf), by=("thermo_name",)
@@ -213,8 +286,11 @@ _QUERIES = {
     "index_summary": lambda spark, sf: tt.index_summary(tt.biometeo_index(_meteo(spark, sf))),
     "delaunay_triangles": _flat_triangles,
     "triangle_vertices": lambda spark, sf: tt.triangle_vertices(_triangles(spark, sf)),
+    "attach_station_id": _attach_station_id,
     "locate_in_triangles": _locate,
+    "pick_one_per_id": _pick_one,
     "join_station_observations": _observations,
+    "interpolate_plane": _plane,
     "interpolate_mobile": _mobile_inter,
     "interpolate_meteo": lambda spark, sf: tt.interpolate_meteo(
         checkpointed(_meteo(spark, sf)), _triangles(spark, sf), _obs(spark, sf)
@@ -223,9 +299,13 @@ _QUERIES = {
         checkpointed(_reference(spark, sf)), _triangles(spark, sf), _obs(spark, sf)
     ),
     "project_points_3857": _project_points,
+    "project_rings_3857": _project_rings,
+    "intersecting_polygons": _intersecting,
     "overlap_fraction": _overlap(8),
     "overlap_fraction_disc": _overlap(None),
+    "fraction_by_class": lambda spark, sf: tt.fraction_by_class(_overlap(8)(spark, sf)),
     "rank_classes": _rank_classes,
+    "pivot_classes": _pivot_classes,
     "lcz_fractions": _lcz_fractions(8),
     "lcz_fractions_disc": _lcz_fractions(None),
     "transect_profile": _profile_rows,
