@@ -20,7 +20,7 @@ from thermotrack.plans.slices import slice_offsets
 
 TILE_POINTS = 2000
 DEEPEST_LEVEL = 24
-LEVEL_STEP = 2
+LEVEL_STEP = 1
 ID_BLOCKS = 10_000
 
 _TILE_SCHEMA = (
