@@ -49,11 +49,13 @@ def _with_owners(triangles: DataFrame) -> DataFrame:
         ).alias("p"),
     ).select("id_triangle", "p.*")
     owners = parts.groupBy("u", "v").agg(F.min("id_triangle").alias("owner"))
-    owned = parts.join(owners, ["u", "v"]).withColumn("own", F.col("owner") == F.col("id_triangle"))
+    owned = parts.join(shuffled(owners), ["u", "v"]).withColumn(
+        "own", F.col("owner") == F.col("id_triangle")
+    )
     flags = owned.groupBy("id_triangle").agg(
         *[F.max(F.when(F.col("part") == name, F.col("own"))).alias(f"own_{name}") for name in ends]
     )
-    return triangles.join(flags, "id_triangle")
+    return triangles.join(shuffled(flags), "id_triangle")
 
 
 def _cells(triangles: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermotrack.functions.times import epoch_us, local_time
-from thermotrack.plans.sided_join import join_summary
+from thermotrack.plans.sided_join import join_summary, shuffled
 from thermotrack.plans.slices import (
     ascending,
     descending,
@@ -150,7 +150,7 @@ def minute_profile(
     grid = days.select(
         *by, F.explode(F.sequence(first, last, F.lit(step_seconds).cast("bigint"))).alias("_step")
     )
-    joined = join_null_safe(grid, means, (*by, "_step"), "left")
+    joined = join_null_safe(grid, shuffled(means), (*by, "_step"), "left")
     stamp = F.timestamp_seconds("_step").cast(kind).alias(ts)
     return joined.select(*by, stamp, *[name for _, name in columns])
 
