@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks import oracles, queries
 from checks.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = queries.queries()
+ORACLES = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +25,11 @@ def test_query(spark, con, name):
     assert compare(spark, con, QUERIES[name], ORACLES[name], SF) is None
 
 
+def test_entry_registers_every_query():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     result = entry.entry(spark)
     assert {"t_inter", "diff_temperature"} <= set(result.columns)

@@ -1,4 +1,14 @@
-"""Mobile-climate analytics as lazy PySpark DataFrame operators."""
+"""Mobile-climate analytics as PySpark DataFrame operators.
+
+Python functions of this package travel to the executors by value, so the workers need no copy of
+it on their path.
+"""
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
 from thermotrack.operators.cleaning import (
     aggregate_by_second,
