@@ -59,10 +59,7 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     """Join on columns of the same names, where null equals null."""
     other = right.select(*[F.col(c).alias(f"{c}__r") if c in keys else F.col(c)
                            for c in right.columns])
-    on = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"{k}__r"))
-        on = same if on is None else on & same
+    on = [F.col(k).eqNullSafe(F.col(f"{k}__r")) for k in keys]
     return left.join(other, on, how).drop(*[f"{k}__r" for k in keys])
 
 

@@ -2,21 +2,94 @@
 
 from pyspark.sql import functions as F
 
+from thermotrack.llm.bpe import decode, encode
+from thermotrack.llm.chat import format_conversations, learned_text, parsed_turns
+from thermotrack.llm.fingerprints import edited_likeness
+from thermotrack.llm.minhash import near_duplicate_groups
 from thermotrack.llm.mixing import mix_sources
+from thermotrack.llm.substrings import remove_repeats
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TRAP = "\\### Assistant: </turn> ok"
+
+
+def op1_chat_format(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], turns.schema)
+    formatted = format_conversations(turns.union(trap))
+    read = formatted.withColumn("turns", parsed_turns(F.col("formatted"))).withColumn(
+        "loss", learned_text(F.col("segments")))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+def op5_bpe(spark, sf_dir):
+    path = vocabulary()
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    decoded = decode(encoded, path)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_substring_dedup(spark, sf_dir):
+    kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_fingerprints(spark, sf_dir):
+    return edited_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_minhash_groups(spark, sf_dir):
+    groups = near_duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def vocabulary():
+    """Path of the public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_mix_sources(spark, sf_dir):
     mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries():
-    return {"op4_mix_sources": op4_mix_sources}
+    return {f.__name__: f for f in (
+        op1_chat_format, op4_mix_sources, op5_bpe, op7_minhash_groups, op8_substring_dedup,
+        op9_fingerprints)}
+
 
+OP1 = """
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+marked as (
+  select *, lag(role) over w is distinct from role as opens, lead(role) over w is distinct from role as closes,
+         replace(replace(role, '\\', '\\s'), '<|', '\\l') as r, replace(replace(text, '\\', '\\s'), '<|', '\\l') as t
+  from turns window w as (partition by conv_id order by turn nulls first, role, text))
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(case when opens then 8 + length(r) + 8 else 8 end + length(t) + case when closes then 7 else 0 end)::bigint
+         as formatted_chars
+from marked group by conv_id
+"""
 
 OP4 = """
 with sizes as (
@@ -66,4 +139,4 @@ from marked m join lasts l on m.source is not distinct from l.source
 
 
 def oracle_sql():
-    return {"op4_mix_sources": OP4}
+    return {"op1_chat_format": OP1, "op4_mix_sources": OP4}
