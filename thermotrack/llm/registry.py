@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from thermotrack.llm.bpe import decode, encode
 from thermotrack.llm.chat import format_conversations, learned_text, parsed_turns
 from thermotrack.llm.fingerprints import edited_likeness
+from thermotrack.llm.lines import line_classes
 from thermotrack.llm.minhash import near_duplicate_groups
 from thermotrack.llm.mixing import mix_sources
 from thermotrack.llm.substrings import remove_repeats
@@ -55,6 +56,11 @@ def op7_minhash_groups(spark, sf_dir):
     return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op2_line_dedup(spark, sf_dir):
+    lines = line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.drop("text_hash")
+
+
 def vocabulary():
     """Path of the public vocabulary file, the same on every machine."""
     import public_tokenizers
@@ -69,7 +75,7 @@ def op4_mix_sources(spark, sf_dir):
 
 def queries():
     return {f.__name__: f for f in (
-        op1_chat_format, op4_mix_sources, op5_bpe, op7_minhash_groups, op8_substring_dedup,
+        op1_chat_format, op2_line_dedup, op4_mix_sources, op5_bpe, op7_minhash_groups, op8_substring_dedup,
         op9_fingerprints)}
 
 
