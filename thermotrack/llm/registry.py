@@ -8,7 +8,10 @@ from thermotrack.llm.fingerprints import edited_likeness
 from thermotrack.llm.lines import line_classes
 from thermotrack.llm.minhash import near_duplicate_groups
 from thermotrack.llm.mixing import mix_sources
+from thermotrack.llm.neighbours import nearest
+from thermotrack.llm.quality import quality_of
 from thermotrack.llm.substrings import remove_repeats
+from thermotrack.llm.toxicity import toxicity_of
 
 
 def table(spark, sf_dir, name):
@@ -51,6 +54,11 @@ def op9_fingerprints(spark, sf_dir):
     return edited_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op7_minhash_groups(spark, sf_dir):
     groups = near_duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -61,6 +69,14 @@ def op2_line_dedup(spark, sf_dir):
     return lines.drop("text_hash")
 
 
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity_of(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"),
+                         F.col("is_toxic").cast("int").alias("predicted"),
+                         F.size("toxic_spans").alias("n_toxic_sentences"))
+
+
 def vocabulary():
     """Path of the public vocabulary file, the same on every machine."""
     import public_tokenizers
@@ -73,10 +89,17 @@ def op4_mix_sources(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_of(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", F.col("quality").alias("score"),
+                         F.col("is_good").cast("int").alias("predicted"))
+
+
 def queries():
     return {f.__name__: f for f in (
-        op1_chat_format, op2_line_dedup, op4_mix_sources, op5_bpe, op7_minhash_groups, op8_substring_dedup,
-        op9_fingerprints)}
+        op1_chat_format, op2_line_dedup, op3_toxicity, op4_mix_sources, op5_bpe, op6_neighbours, op7_minhash_groups,
+        op8_substring_dedup, op9_fingerprints, op10_quality)}
 
 
 OP1 = """
