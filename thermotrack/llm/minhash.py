@@ -14,6 +14,8 @@ PERCENT = 75
 ROWS = 3  # minimum hashes in a half key
 HALVES = 16  # half keys in each of the two collections: 256 tables from 96 minimum hashes
 SEED = 20240229
+STRAY_SHINGLES = 200_000  # in a block of classes that are compared with blocks of others
+MEMBER_SHINGLES = 800_000
 
 
 def shingle_set(text: bytes | None, words: int, cache: WordHashes) -> np.ndarray:
@@ -42,9 +44,11 @@ def near_duplicate_groups(docs: DataFrame, words: int = WORDS, percent: int = PE
     halves**2 tables cost only 2 * halves * rows minimum hashes. A pair of similarity s meets with
     probability (1 - (1 - s**rows)**halves)**2: 0.9997 at 0.75, and more above. Half keys that no
     other class shares are left out before keys are paired. In each table the classes are compared
-    with the smallest one of their key; afterwards only pairs that share a table and are not yet in
-    one component are compared, so a large group of copies costs as many comparisons as it has
-    members, and still no pair that shares a table is left out. Every link is confirmed on the sets.
+    with the smallest one of their key. Two classes that share a table have been compared with the
+    same one, so what is left are pairs within such a star that are not in one component yet: those
+    that the star's centre didn't reach against the rest, in blocks of bounded size, of which only
+    links leave the task. No pair that shares a table is left out, unless it is in one component
+    already. Every link is confirmed on the full sets.
 
     Texts without words (null, empty, blank) have no shingle and link with nothing. Rows with the
     same doc_id stand for themselves and may share a component; a null doc_id takes part, but is
@@ -58,10 +62,10 @@ def near_duplicate_groups(docs: DataFrame, words: int = WORDS, percent: int = PE
         signed.filter("n_shingles > 0").groupBy("set_id")
         .agg(F.min("id").alias("doc"), F.first("n_shingles").alias("n"),
              F.first("a").alias("a"), F.first("b").alias("b")))
-    live = saved(_live_halves(classes))
-    links = saved(_confirmed(whole, classes, saved(_stars(live)), words, percent))
-    strays = saved(_across(live, saved(components(links)), percent))
-    links = links.union(_confirmed(whole, classes, strays, words, percent))
+    stars = saved(_stars(_live_halves(classes)))
+    sets = saved(_sets_of(whole, classes, stars, words))
+    links = saved(_confirmed(stars, sets, percent))
+    links = links.union(_across(stars, saved(components(links)), sets, percent))
     member = classes.join(components(links), F.col("set_id") == F.col("id"), "left").select(
         "set_id", "doc", F.coalesce("root", "set_id").alias("root"))
     least = member.groupBy("root").agg(F.min("doc").alias("least"))
@@ -149,47 +153,96 @@ def _stars(live: DataFrame) -> DataFrame:
             .filter("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct())
 
 
-def _across(live: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) that share a table key, in different components, of fitting sizes.
+def _sets_of(whole: DataFrame, classes: DataFrame, stars: DataFrame, words: int) -> DataFrame:
+    """set_id, n, shingles of the classes in stars, made again from one text of each."""
+    used = stars.select(F.col("a").alias("set_id")).union(stars.select("b")).distinct()
+    wanted = saved(classes.select("set_id", "doc").join(used, "set_id", "left_semi"))
+    texts = null_safe(whole.select("id", "text"), sized(wanted.select(F.col("doc").alias("id"))), ["id"], "left_semi")
+    found = _sets(texts, words).join(sized(wanted, 64), "set_id", "left_semi").dropDuplicates(["set_id"])
+    return found.withColumn("n", F.size("shingles"))
 
-    Keys whose classes are all in one component are left out before anything is paired. Pairs meet
-    on half keys of the first collection; that the second is shared as well is part of the join.
-    """
-    placed = live.join(roots, F.col("set_id") == F.col("id"), "left").select(
-        "set_id", "n", "lb", "la", F.coalesce("root", "set_id").alias("root"))
-    halves = placed.select("set_id", "n", "lb", "root", F.explode("la").alias("half"))
-    split = (halves.groupBy("half").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-             .filter("low <> high").select("half"))
-    rows = saved(halves.join(split, "half"))
-    left = rows.select("half", *[F.col(c).alias(f"{c}_a") for c in ("set_id", "n", "lb", "root")])
-    right = rows.select("half", *[F.col(c).alias(f"{c}_b") for c in ("set_id", "n", "lb", "root")])
-    on = [F.col("l.half") == F.col("r.half"), F.col("set_id_a") < F.col("set_id_b"),
-          F.col("root_a") != F.col("root_b"),
-          100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"),
-          F.arrays_overlap("lb_a", "lb_b")]
-    return left.alias("l").join(right.alias("r"), on).select(
-        F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
-
-
-def _confirmed(whole: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs that hold on the full sets, which are made again from one text of each class."""
-    of = classes.select("set_id", "doc", "n")
-    sizes = lambda side: of.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"))
-    fitting = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter(
+
+def _confirmed(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that hold on the full sets; pairs whose sizes alone forbid it get no sets."""
+    sizes = lambda side: sets.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"))
+    fitting = stars.join(sizes("a"), "a").join(sizes("b"), "b").filter(
         100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    fitting = saved(fitting)
-    used = fitting.select("a").union(fitting.select("b")).distinct()
-    wanted = saved(of.join(used, F.col("set_id") == F.col("a"), "left_semi").select("set_id", "doc"))
-    texts = whole.select("id", "text").join(
-        sized(wanted.select(F.col("doc").alias("id")).distinct(), 0), "id", "left_semi")
-    sets = saved(_sets(texts, words).join(sized(wanted, 64), "set_id", "left_semi")
-                 .dropDuplicates(["set_id"]))
-    both = fitting.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    shingles = lambda side: sets.select(F.col("set_id").alias(side), F.col("shingles").alias(f"s{side}"))
+    both = fitting.join(shingles("a"), "a").join(shingles("b"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
+def _across(stars: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one star that are in different components.
+
+    Strays, the members outside of the centre's component, meet all members of other components.
+    Both are dealt into blocks by size, so a task holds some STRAY_SHINGLES and MEMBER_SHINGLES at
+    most, however large the star. A stray is given one link to each component that it reaches.
+    """
+    root_of = lambda df, key: df.join(roots.select(F.col("id").alias(key), "root"), key, "left").withColumn(
+        "root", F.coalesce("root", key))
+    members = root_of(stars.select(F.col("b").alias("centre"), F.col("a").alias("set_id")), "set_id")
+    centres = root_of(stars.select(F.col("b").alias("centre")).distinct(), "centre").withColumnRenamed("root", "home")
+    members = members.join(centres, "centre").withColumn("stray", F.col("root") != F.col("home"))
+    members = members.join(sets.select("set_id", "n"), "set_id")
+    mixed = members.groupBy("centre").agg(
+        F.count("*").alias("size"), F.count_if("stray").alias("strays"),
+        F.ceil(F.sum("n") / MEMBER_SHINGLES).cast("int").alias("member_blocks"),
+        F.ceil(F.sum(F.when(F.col("stray"), F.col("n"))) / STRAY_SHINGLES).cast("int").alias("stray_blocks"),
+    ).filter("size > 1 and strays > 0")
+    chosen = saved(members.select("centre", "set_id", "root", "stray").join(mixed.drop("size", "strays"), "centre"))
+    rows = chosen.join(sets.select("set_id", "shingles"), "set_id")
+    own = lambda blocks: F.pmod(F.xxhash64("set_id"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    kept = ("centre", "set_id", "root", "shingles")
+    strays = rows.filter("stray").select(*kept, own("stray_blocks").alias("i"), every("member_blocks").alias("j"))
+    others = rows.select(*[F.col(c).alias(c) for c in kept], every("stray_blocks").alias("i"),
+                         own("member_blocks").alias("j"))
+
+    def compared(strays: pa.Table, others: pa.Table) -> pa.Table:
+        a, b = _links_between(strays, others, percent) if strays.num_rows and others.num_rows else ([], [])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    block = ("centre", "i", "j")
+    return strays.groupBy(*block).cogroup(others.groupBy(*block)).applyInArrow(compared, "a binary, b binary")
+
+
+def _links_between(strays: pa.Table, others: pa.Table, percent: int):
+    """Of each stray, one link to each other component: ids of both ends."""
+    order = np.argsort(others.column("set_id").to_numpy(zero_copy_only=False))
+    others = others.take(pa.array(order))
+    values, owners, sizes = zip(*[_flat(t.column("shingles")) for t in (strays, others)], strict=True)
+    shared = np.intersect1d(values[0], values[1])
+    both = []
+    for v, o in zip(values, owners, strict=True):
+        v, o = v[keep := np.isin(v, shared)], o[keep]
+        by_value = np.argsort(v, kind="stable")
+        both.append(np.split(o[by_value], np.searchsorted(v[by_value], shared[1:])))
+    counts = np.zeros((len(sizes[0]), len(sizes[1])), np.int32)
+    for s, o in zip(*both, strict=True):
+        counts[s[:, None], o] += 1
+    linked = 100 * counts >= percent * (sizes[0][:, None] + sizes[1] - counts)
+    roots = [np.array(t.column("root").to_pylist(), object) for t in (strays, others)]
+    ids = [t.column("set_id").to_pylist() for t in (strays, others)]
+    a, b = [], []
+    for i in np.flatnonzero(linked.any(axis=1)):
+        reached = {roots[0][i]}
+        for j in np.flatnonzero(linked[i]):
+            if roots[1][j] not in reached:
+                reached.add(roots[1][j])
+                a.append(ids[0][i])
+                b.append(ids[1][j])
+    return a, b
+
+
+def _flat(column):
+    """All values of a list column, the row of each, and the length of each row."""
+    rows = column.combine_chunks()
+    sizes = np.diff(rows.offsets.to_numpy())
+    return rows.flatten().to_numpy(), np.repeat(np.arange(len(rows)), sizes), sizes
+
+
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     def run(batches):
         cache = WordHashes()
