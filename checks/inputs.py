@@ -63,10 +63,10 @@ from supplier {STEPS}""",
 select event_id as id, (event_id*37)%7700 - 100e0 as x3857,
  event_id*0.6e0 - 100e0 + (event_id*91)%200 as y3857, value as temperature, ts as {TS}
 from events""",
-    # 150 m squares in rows of 50, some with a hole; `part` 0 is the shell and 1 the hole
+    # 150 m squares in rows of 50, some with a hole, some without a class; `part` 0 is the shell and 1 the hole
     "lcz_rects": """
 select p_partkey as poly_id, k as part,
- cast(case when p_partkey%23=5 then 200 when p_partkey%17<10 then p_partkey%17+1
+ cast(case when p_partkey%29=7 then null when p_partkey%23=5 then 200 when p_partkey%17<10 then p_partkey%17+1
       else p_partkey%17+91 end as int) as lcz_primary,
  (p_partkey%50)*150e0 + k*40e0 as x0, floor(p_partkey/50.0e0)*150e0 + k*30e0 as y0,
  (p_partkey%50)*150e0 + 150e0 - k*40e0 as x1, floor(p_partkey/50.0e0)*150e0 + 150e0 - k*60e0 as y1

@@ -10,6 +10,7 @@ CLEAN_START = "2024-01-03T06:00:00+02:00"
 CLEAN_END = "2024-01-28T23:00:00+02:00"
 SPLIT = "2024-01-15 12:00:00"
 RADIUS = 100
+# Class codes and their groups.
 CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 101, 102, 103, 104, 105, 106, 107)
 GROUPS = {
     "lcz_urban": "1,2,3,4,5,6,7,8,9,10,105",
@@ -17,11 +18,27 @@ GROUPS = {
     "lcz_bare": "106",
     "lcz_water": "107",
 }
+# Measures of the bike table.
 METEO = (
-    "lon lat altitude vitesse direction temperature humidite pression temperature_bot "
-    "temperature_top pm_1_ug_m3 pm_2_5_ug_m3 pm_10_ug_m3 niveau_sonore_db_a distancegauche "
-    "distancedroite elevation speed_m_s"
-).split()
+    "lon",
+    "lat",
+    "altitude",
+    "vitesse",
+    "direction",
+    "temperature",
+    "humidite",
+    "pression",
+    "temperature_bot",
+    "temperature_top",
+    "pm_1_ug_m3",
+    "pm_2_5_ug_m3",
+    "pm_10_ug_m3",
+    "niveau_sonore_db_a",
+    "distancegauche",
+    "distancedroite",
+    "elevation",
+    "speed_m_s",
+)
 TRACK = "sensor_name, thermo_name, id_track"
 KEY = "md5(cast(id_track as varchar) || '|' || sensor_name || '|' || thermo_name)"
 
@@ -293,7 +310,7 @@ _BY_CLASS = [
     (
         "class_ranks",
         """select *, row_number() over (partition by id order by round(lcz_fraction_sum, 9) desc,
- lcz_primary) as rn from by_class""",
+ lcz_primary nulls last) as rn from by_class""",
     ),
 ]
 _WIDE = ", ".join(
@@ -417,8 +434,20 @@ _FILLED = f"""select p.thermo_name, p."timestamp",
  asof left join {_known(c)} hi_{c} on p.thermo_name = hi_{c}.thermo_name and p.pos <= hi_{c}.pos"""
     for c in ("sensor_t", "meteofrance_t")
 )
+# Bounds of the difference classes and their colours.
 _BOUNDS = (-10, -5, -4, -3, -2, -1, 0, 1, 2, 3, 4)
-_COLOURS = "#30123b #455bcd #3e9cfe #18d7cb #48f882 #a4fc3c #fea331 #ef5911 #c22403 #7a0403".split()
+_COLOURS = (
+    "#30123b",
+    "#455bcd",
+    "#3e9cfe",
+    "#18d7cb",
+    "#48f882",
+    "#a4fc3c",
+    "#fea331",
+    "#ef5911",
+    "#c22403",
+    "#7a0403",
+)
 
 
 def _class_case(value) -> str:
@@ -432,7 +461,29 @@ _LOCATED = [*_MOBILE, *_TRIANGLES, ("located", _located("mobile", "p.id, p.lon,
 _PER_DEGREE = "111319.49079327358e0"
 
 
+_FILLED_RAW = (
+    "placed",
+    """select thermo_name, id, date_trunc('minute', "timestamp") as "timestamp",
+ case when id % 3 <> 0 then temperature end as temperature,
+ row_number() over (partition by thermo_name order by date_trunc('minute', "timestamp"), id) as pos
+ from inter""",
+)
+_SHUFFLED = (
+    "locate_in_triangles",
+    "join_station_observations",
+    "overlap_fraction",
+    "lcz_fractions",
+    "transect_summary",
+    "fill_linear",
+)
+
+
 def oracle_sql() -> dict[str, str]:
+    found = _statements()
+    return found | {f"{name}_shuffled": found[name] for name in _SHUFFLED}
+
+
+def _statements() -> dict[str, str]:
     cleaned = _r(*_MOBILE_DOUBLES)
     return {
         "hour_range_stats_mobile": _stats(
@@ -567,13 +618,22 @@ def oracle_sql() -> dict[str, str]:
  from zones join series using (thermo_name)""",
         "classify_difference": _with(
             *_MOBILE_INTER,
-            ("d", "select id, round(temperature - t_inter, 6) + 0e0 as diff from inter"),
+            ("d", "select id, temperature - t_inter as diff from inter"),
         )
-        + f""" select id, diff as diff_temperature, {_class_case(str)} as diff_class,
+        + f""" select id, round(diff, 6) + 0e0 as diff_temperature, {_class_case(str)} as diff_class,
  {_class_case(lambda k: repr(_COLOURS[k]))} as diff_colour from d""",
         "minute_profile": _with(*_MINUTES)
         + f""" select thermo_name, "timestamp", {_r("sensor_t", "meteofrance_t")} from profile""",
         "fill_linear": _with(*_MINUTES) + " " + _FILLED,
+        "fill_linear_raw": _with(*_MOBILE_INTER, _FILLED_RAW)
+        + f""" select p.thermo_name, p.id, p."timestamp",
+ round({_fill("temperature")}, {DIGITS}) + 0e0 as temperature from placed p
+ asof left join {_known("temperature")} lo_temperature
+ on p.thermo_name = lo_temperature.thermo_name and p.pos >= lo_temperature.pos
+ asof left join {_known("temperature")} hi_temperature
+ on p.thermo_name = hi_temperature.thermo_name and p.pos <= hi_temperature.pos""",
+        "replace_table": _with(*_REFERENCE)
+        + f' select id, {TRACK}, "timestamp", unique_id_track, {cleaned} from reference',
         "select_thermo": _with(*_MOBILE)
         + f""" select id, "timestamp", {_r("temperature", "humidity")} from mobile
  where thermo_name = 'Thermo 1'""",

@@ -1,5 +1,7 @@
 """One Spark query per operator, over the whole derived tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,8 @@ from checks.inputs import lcz_polygons, spark_table
 from checks.oracles import CLEAN_END, CLEAN_START, DIGITS, RADIUS, SPLIT
 from thermotrack.functions.keys import TRACK, track_key
 from thermotrack.plans.checkpoints import checkpointed
+from thermotrack.plans.sided_join import BROADCAST_SETTING
+from thermotrack.sources.tables import replace_table
 
 PER_DEGREE = 111319.49079327358  # EPSG:3857 units per degree on the equator
 
@@ -244,10 +248,7 @@ def _profile_rows(spark, sf):
 
 
 def _classes(spark, sf):
-    points = _mobile_inter(spark, sf).select(
-        "id", (F.round("diff_temperature", DIGITS) + F.lit(0.0)).alias("diff_temperature")
-    )
-    return tt.classify_difference(points)
+    return tt.classify_difference(_mobile_inter(spark, sf).select("id", "diff_temperature"))
 
 
 def _minutes(spark, sf):
@@ -258,6 +259,37 @@ def _filled(spark, sf):
     return tt.fill_linear(checkpointed(_minutes(spark, sf)), ("sensor_t", "meteofrance_t"))
 
 
+def _filled_raw(spark, sf):
+    """Gaps in points that share their minute: ties are placed by id."""
+    points = _mobile_inter(spark, sf).select(
+        "id",
+        "thermo_name",
+        F.date_trunc("minute", "timestamp").cast("timestamp_ntz").alias("timestamp"),
+        F.when(F.col("id") % 3 != 0, F.col("temperature")).alias("temperature"),
+    )
+    return tt.fill_linear(checkpointed(points), ("temperature",), ties=("id",))
+
+
+def _far(query):
+    """The query as it runs when nothing may be broadcast by count."""
+
+    def run(spark, sf):
+        spark.conf.set(BROADCAST_SETTING, "0")
+        try:
+            return query(spark, sf)
+        finally:
+            spark.conf.unset(BROADCAST_SETTING)
+
+    return run
+
+
+def _round_trip(spark, sf):
+    """A cleaned table written, replaced by a second writing, and read back."""
+    name = f"thermotrack_sink_{uuid.uuid4().hex}"
+    replace_table(_reference(spark, sf).limit(0), name)
+    return replace_table(_reference(spark, sf), name)
+
+
 def _select_thermo(spark, sf):
     chosen = tt.select_thermo(_mobile(spark, sf), "Thermo 1")
     return chosen.select("id", "timestamp", "temperature", "humidity")
@@ -315,7 +347,20 @@ _QUERIES = {
     "classify_difference": _classes,
     "minute_profile": _minutes,
     "fill_linear": _filled,
+    "fill_linear_raw": _filled_raw,
     "select_thermo": _select_thermo,
+    "replace_table": _round_trip,
+}
+_QUERIES |= {
+    f"{name}_shuffled": _far(_QUERIES[name])
+    for name in (
+        "locate_in_triangles",
+        "join_station_observations",
+        "overlap_fraction",
+        "lcz_fractions",
+        "transect_summary",
+        "fill_linear",
+    )
 }
 
 

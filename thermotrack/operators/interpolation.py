@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from thermotrack.functions.geo import edge_side
 from thermotrack.functions.times import epoch_us
 from thermotrack.plans.checkpoints import checkpointed
-from thermotrack.plans.sided_join import BROADCAST_ROWS, join_on_cell, shuffled
+from thermotrack.plans.sided_join import is_small, join_on_cell, shuffled
 
 # Report step of the stations in seconds, temperature change per metre.
 REPORT_SECONDS = 360
@@ -181,7 +181,7 @@ def join_station_observations(
         F.col("t_ground_0").cast("double").alias("t_ground_0"),
         F.col("delta_t").cast("double").alias("delta_t"),
     ).withColumn("_report_bucket", F.floor(F.col("us") / window_us).cast("bigint"))
-    few = 6 * pairs.count() <= BROADCAST_ROWS
+    few = is_small(wanted, 6 * pairs.count())
     sided = F.broadcast(wanted) if few else shuffled(wanted)
     found = checkpointed(
         reports.join(sided, ["_station", "_report_bucket"])
@@ -189,7 +189,7 @@ def join_station_observations(
         .agg(F.collect_list(F.struct("us", "t_ground_0", "delta_t", "vertex")).alias("_reports"))
     )
     reports_found = found.agg(F.sum(F.size("_reports") + 1)).first()[0] or 0
-    found = F.broadcast(found) if reports_found <= BROADCAST_ROWS else shuffled(found)
+    found = F.broadcast(found) if is_small(found, reports_found) else shuffled(found)
 
     def latest(k) -> Column:
         usable = F.filter(

@@ -7,7 +7,7 @@ from thermotrack.functions.clip import clip_ring, ring_area2, rotated
 from thermotrack.functions.geo import mercator_x, mercator_y
 from thermotrack.functions.overlap import buffer_area, with_edge_area
 from thermotrack.plans.checkpoints import checkpointed
-from thermotrack.plans.sided_join import BROADCAST_ROWS, join_on_cell
+from thermotrack.plans.sided_join import is_small, join_on_cell
 
 # Class codes with a column of their own, and their groups.
 LCZ_CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 101, 102, 103, 104, 105, 106, 107)
@@ -19,9 +19,8 @@ LCZ_GROUPS = {
 }
 RADIUS = 100
 QUAD_SEGS = 8  # a buffer drawn with 8 segments per quarter circle
-TOUCH = 1e-12  # a smaller share is a polygon that only touches the buffer
+TOUCH = 1e-9  # a share up to this is a polygon that only touches the buffer
 RANK_DIGITS = 9
-FUSED_CLASSES = 200
 _CELL = ("cell_x", "cell_y")
 
 
@@ -128,7 +127,7 @@ def _edge_areas(points: DataFrame, edges: DataFrame, radius: float, quad_segs) -
         }
     )
     rows = edges.count()
-    if rows <= BROADCAST_ROWS:
+    if is_small(edges, rows):
         celled = celled.repartition("id")
     joined = join_on_cell(celled, edges, _CELL, "id", rows).filter(
         (F.col("x3857") + radius > F.col("x_lo"))
@@ -157,19 +156,28 @@ def overlap_fraction(
     polygons: DataFrame,
     radius: float = RADIUS,
     quad_segs: int | None = QUAD_SEGS,
+    touch: float = TOUCH,
 ) -> DataFrame:
     """(id, poly_id, lcz_primary, lcz_fraction) for each polygon that covers a part of the buffer
-    of a point. Polygons that only touch the buffer are left out.
+    of a point. A share up to `touch` counts as touching the buffer only and is left out; 0 keeps
+    every polygon with any area in it.
     """
-    edges = checkpointed(_clipped_edges(polygons, radius))
     narrow = _projected(points).select("id", "x3857", "y3857")
-    areas = _edge_areas(narrow, edges, radius, quad_segs)
+    areas = _areas(narrow, polygons, radius, quad_segs)
+    shares = _polygon_shares(areas, (*_partition_columns(areas), "id"), radius, quad_segs, touch)
+    return shares.select("id", "poly_id", "lcz_primary", "lcz_fraction")
+
+
+def _areas(located: DataFrame, polygons: DataFrame, radius: float, quad_segs) -> DataFrame:
+    return _edge_areas(located, checkpointed(_clipped_edges(polygons, radius)), radius, quad_segs)
+
+
+def _polygon_shares(areas: DataFrame, keys, radius: float, quad_segs, touch: float) -> DataFrame:
     whole = buffer_area(radius, quad_segs)
     return (
-        areas.groupBy(*_partition_columns(areas), "id", "poly_id", "lcz_primary")
+        areas.groupBy(*keys, "poly_id", "lcz_primary")
         .agg((F.sum("area") / whole).alias("lcz_fraction"))
-        .select("id", "poly_id", "lcz_primary", "lcz_fraction")
-        .filter(F.col("lcz_fraction") > TOUCH)
+        .filter(F.col("lcz_fraction") > touch)
     )
 
 
@@ -178,25 +186,27 @@ def intersecting_polygons(
     polygons: DataFrame,
     radius: float = RADIUS,
     quad_segs: int | None = QUAD_SEGS,
+    touch: float = TOUCH,
 ) -> DataFrame:
     """Pairs of a point and a polygon under its buffer."""
-    return overlap_fraction(points, polygons, radius, quad_segs).drop("lcz_fraction")
+    return overlap_fraction(points, polygons, radius, quad_segs, touch).drop("lcz_fraction")
 
 
-def fraction_by_class(overlaps: DataFrame) -> DataFrame:
-    return overlaps.groupBy("id", "lcz_primary").agg(F.sum("lcz_fraction").alias("lcz_fraction_sum"))
+def fraction_by_class(overlaps: DataFrame, keys=("id",)) -> DataFrame:
+    """Shares summed by class; polygons without a class are a class of their own."""
+    return overlaps.groupBy(*keys, "lcz_primary").agg(F.sum("lcz_fraction").alias("lcz_fraction_sum"))
 
 
-def rank_classes(fractions: DataFrame) -> DataFrame:
+def rank_classes(fractions: DataFrame, keys=("id",)) -> DataFrame:
     """Add rn, 1 for the largest share of the point. Shares equal to RANK_DIGITS decimals are a tie,
-    which the lower class code wins.
+    which the lower class code wins; the NULL class comes last.
     """
     share = F.round("lcz_fraction_sum", RANK_DIGITS)
-    order = Window.partitionBy("id").orderBy(share.desc(), "lcz_primary")
+    order = Window.partitionBy(*keys).orderBy(share.desc(), F.col("lcz_primary").asc_nulls_last())
     return fractions.withColumn("rn", F.row_number().over(order))
 
 
-def pivot_classes(ranked: DataFrame) -> DataFrame:
+def pivot_classes(ranked: DataFrame, keys=("id",)) -> DataFrame:
     """One row per point: first and second class, the share of each class and group."""
     share = F.col("lcz_fraction_sum")
     code = F.col("lcz_primary")
@@ -204,7 +214,7 @@ def pivot_classes(ranked: DataFrame) -> DataFrame:
     def of(codes):
         return F.coalesce(F.sum(F.when(code.isin(*codes), share)), F.lit(0.0))
 
-    return ranked.groupBy("id").agg(
+    return ranked.groupBy(*keys).agg(
         F.max(F.when(F.col("rn") == 1, code)).alias("lcz_primary_max"),
         F.max(F.when(F.col("rn") == 2, code)).alias("lcz_primary_max_2"),
         *[of((c,)).alias(f"lcz_{c}") for c in LCZ_CLASSES],
@@ -218,57 +228,25 @@ def lcz_fractions(
     columns,
     radius: float = RADIUS,
     quad_segs: int | None = QUAD_SEGS,
+    touch: float = TOUCH,
 ) -> DataFrame:
     """Land cover around each point, with the named columns of the point kept.
 
     points have id and lon, lat (or x3857, y3857); polygons have poly_id, lcz_primary and rings in
     degrees (or rings_3857), shell first. The buffer is drawn in EPSG:3857 with quad_segs segments
-    per quarter; None takes the true disc. Points with no polygon in the buffer are left out.
-    Other classes than the 17 count for the first and second class only.
+    per quarter; None takes the true disc. A polygon whose share is at most `touch` only touches the
+    buffer and is left out; points with no polygon in the buffer are left out. Classes other than
+    the 17, and polygons without a class, count for the first and second class only.
+
+    Shares per polygon, sums per class, ranks and the pivot all group by the point and what its join
+    was partitioned by, so points are shuffled once.
     """
     if points is None or polygons is None or not columns:
         raise ValueError("points, polygons and at least one column are required")
-    edges = checkpointed(_clipped_edges(polygons, radius))
-    codes = [r[0] for r in edges.select("lcz_primary").distinct().limit(FUSED_CLASSES + 1).collect()]
     place = [c for c in ("lon", "lat", "x3857", "y3857") if c in points.columns]
     kept = ["id", *place, *[c for c in columns if c not in ("id", *place)]]
-    located = _projected(points.select(*kept))
-    if len(codes) > FUSED_CLASSES:
-        overlaps = overlap_fraction(points, polygons, radius, quad_segs)
-        wide = pivot_classes(rank_classes(fraction_by_class(overlaps)))
-        return points.select(*kept).join(wide, "id")
-    codes = sorted(set(codes) - {None})
-    areas = _edge_areas(located, edges, radius, quad_segs)
-    whole = buffer_area(radius, quad_segs)
-    code = F.col("lcz_primary")
-    sums = [(F.sum(F.when(code == c, F.col("area"))) / whole).alias(f"_f{c}") for c in codes]
-    sums = sums or [F.count("*").alias("_none")]
-    grouped = areas.groupBy(*_partition_columns(areas), *kept).agg(*sums)
-    real = {c: F.when(F.col(f"_f{c}") > TOUCH, F.col(f"_f{c}")) for c in codes}
-    order = F.array_sort(
-        F.array_compact(
-            F.array(
-                *[
-                    F.when(f.isNotNull(), F.struct((-F.round(f, RANK_DIGITS)).alias("minus"), F.lit(c).alias("code")))
-                    for c, f in real.items()
-                ]
-            )
-        )
-    )
-    if not codes:
-        return points.select(*kept).filter(F.lit(False))
-
-    def total(group):
-        return sum([F.coalesce(real[c], F.lit(0.0)) for c in group if c in real], F.lit(0.0))
-
-    return (
-        grouped.withColumn("_order", order)
-        .filter(F.size("_order") > 0)
-        .select(
-            *kept,
-            F.get("_order", F.lit(0))["code"].alias("lcz_primary_max"),
-            F.get("_order", F.lit(1))["code"].alias("lcz_primary_max_2"),
-            *[total((c,)).alias(f"lcz_{c}") for c in LCZ_CLASSES],
-            *[total(group).alias(name) for name, group in LCZ_GROUPS.items()],
-        )
-    )
+    areas = _areas(_projected(points.select(*kept)), polygons, radius, quad_segs)
+    keys = (*_partition_columns(areas), *kept)
+    shares = _polygon_shares(areas, keys, radius, quad_segs, touch)
+    wide = pivot_classes(rank_classes(fraction_by_class(shares, keys), keys), keys)
+    return wide.drop(*_partition_columns(areas))

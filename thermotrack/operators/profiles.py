@@ -161,9 +161,11 @@ def fill_linear(
     by=("thermo_name",),
     order: str = "timestamp",
     slice_seconds: int = DAY_SECONDS,
+    ties=(),
 ) -> DataFrame:
     """Fill NULLs on the straight line between the nearest known rows, by row position. Leading
-    gaps stay NULL, trailing gaps take the last known value.
+    gaps stay NULL, trailing gaps take the last known value. Rows of one `order` value are placed by
+    the columns `ties`, then by the filled columns (NULL last), so every row has a place of its own.
 
     Known neighbours are searched inside the slice first; those of other slices come from a
     per-slice summary with the first and last known value of each column.
@@ -171,9 +173,11 @@ def fill_linear(
     by = tuple(by)
     sliced = df.withColumn("_slice", time_slice(F.col(order), slice_seconds))
     keys = (*by, "_slice")
-    forward = Window.partitionBy(*keys).orderBy(*ascending((order,)))
-    backward = Window.partitionBy(*keys).orderBy(*descending((order,)))
-    numbered = sliced.withColumn("_row", F.row_number().over(forward).cast("bigint"))
+    placed = Window.partitionBy(*keys).orderBy(*ascending((order, *ties, *columns)))
+    upto = (Window.unboundedPreceding, 0)
+    forward = Window.partitionBy(*keys).orderBy("_row").rowsBetween(*upto)
+    backward = Window.partitionBy(*keys).orderBy(F.desc("_row")).rowsBetween(*upto)
+    numbered = sliced.withColumn("_row", F.row_number().over(placed).cast("bigint"))
 
     def known(c):
         return F.when(F.col(c).isNotNull(), F.struct(F.col("_row").alias("row"), F.col(c).alias("v")))

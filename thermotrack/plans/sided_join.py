@@ -6,17 +6,26 @@ from pyspark.sql import functions as F
 from thermotrack.plans.checkpoints import checkpointed
 from thermotrack.plans.slices import join_null_safe
 
-BROADCAST_ROWS = 1_500_000  # rows of some 100 bytes: at most about 150 MB in each executor
+BROADCAST_BYTES = 150 << 20  # of rows in memory, in each executor
+BROADCAST_SETTING = "thermotrack.broadcastBytes"
 SALTS = 32
 
 
+def is_small(df: DataFrame, rows: int) -> bool:
+    """Whether so many rows of df, at the default width of their columns, may be broadcast. The
+    bound is BROADCAST_BYTES, or the session setting BROADCAST_SETTING when an operator is called.
+    """
+    most = int(df.sparkSession.conf.get(BROADCAST_SETTING, str(BROADCAST_BYTES)))
+    return rows * (16 + df._jdf.schema().defaultSize()) <= most
+
+
 def join_on_cell(large: DataFrame, small: DataFrame, keys, large_id: str, small_rows: int):
     """Inner equi-join. A counted small side is broadcast, so the large side does not move and a
     hot cell costs nothing. Beyond the bound both sides are shuffled on (cell, _salt): rows of one
     hot cell are spread over SALTS tasks and the small side is repeated that many times. The column
     `_salt` stays, to let later groupings by it keep the partitioning.
     """
-    if small_rows <= BROADCAST_ROWS:
+    if is_small(small, small_rows):
         return large.join(F.broadcast(small), list(keys))
     salted = large.withColumn("_salt", F.pmod(F.xxhash64(large_id), F.lit(SALTS)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
@@ -33,5 +42,5 @@ def join_summary(large: DataFrame, summary: DataFrame, keys) -> DataFrame:
     short one is broadcast, so the large side keeps its place; a long one is shuffled.
     """
     saved = checkpointed(summary)
-    few = saved.count() <= BROADCAST_ROWS
+    few = is_small(saved, saved.count())
     return join_null_safe(large, F.broadcast(saved) if few else shuffled(saved), keys)
