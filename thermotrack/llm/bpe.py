@@ -157,8 +157,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", part_chars: int = PAR
             yield pa.record_batch([*[batch.column(c) for c in ("row", "key", "number", "piece")], _lists(ids)],
                                   names=["row", "key", "number", "piece", "ids"])
 
+    vocabularies = []  # of a task, read when a text needs it
+
     def joined(table: pa.Table) -> pa.Table:
-        bpe = ByteBpe(path)
         table = table.take(pc.sort_indices(table, [("number", "ascending")]))
         groups, last = [], None
         for ids, piece in zip(table.column("ids").to_pylist(), table.column("piece").to_pylist(), strict=True):
@@ -170,6 +171,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", part_chars: int = PAR
         out = []
         for level in groups:  # neighbours are joined in pairs, level by level
             while len(level) > 1:
+                if not vocabularies:
+                    vocabularies.append(ByteBpe(path))
+                bpe = vocabularies[0]
                 level = [bpe.join(*level[i : i + 2]) if i + 1 < len(level) else level[i]
                          for i in range(0, len(level), 2)]
             out += level[0]
