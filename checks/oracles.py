@@ -480,6 +480,7 @@ _SHUFFLED = (
 
 def oracle_sql() -> dict[str, str]:
     found = _statements()
+    found["delaunay_triangles_tiled"] = found["delaunay_triangles"]
     return found | {f"{name}_shuffled": found[name] for name in _SHUFFLED}
 
 

@@ -123,7 +123,11 @@ def _biometeo_index(spark, sf):
 
 
 def _flat_triangles(spark, sf):
-    return _triangles(spark, sf).select(
+    return _flat(_triangles(spark, sf))
+
+
+def _flat(triangles):
+    return triangles.select(
         "id_triangle",
         *[
             F.col(f"{v}.{field}").alias(name)
@@ -133,6 +137,13 @@ def _flat_triangles(spark, sf):
     )
 
 
+def _tiled_triangles(spark, sf):
+    """The same triangles from ten tiles and more, ten stations in each at least."""
+    stations = checkpointed(_stations(spark, sf))
+    tile = max(10, stations.count() // 10)
+    return _flat(tt.delaunay_triangles(stations, tile_points=tile))
+
+
 def _attach_station_id(spark, sf):
     vertices = tt.triangle_vertices(_triangles(spark, sf), closed=True).drop("numer_insee")
     return tt.attach_station_id(vertices, _stations(spark, sf))
@@ -317,6 +328,7 @@ _QUERIES = {
     ),
     "index_summary": lambda spark, sf: tt.index_summary(tt.biometeo_index(_meteo(spark, sf))),
     "delaunay_triangles": _flat_triangles,
+    "delaunay_triangles_tiled": _tiled_triangles,
     "triangle_vertices": lambda spark, sf: tt.triangle_vertices(_triangles(spark, sf)),
     "attach_station_id": _attach_station_id,
     "locate_in_triangles": _locate,

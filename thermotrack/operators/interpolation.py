@@ -161,6 +161,7 @@ def join_station_observations(
     few they are broadcast, and then neither the reports nor the points are shuffled.
     """
     window_us = window_seconds * 1_000_000
+    located = checkpointed(located)  # the join with the triangles is read twice
     bucketed = located.withColumn("_us", epoch_us(F.col(ts))).withColumn(
         "_bucket", F.floor(F.col("_us") / window_us).cast("bigint")
     )

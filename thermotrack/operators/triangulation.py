@@ -21,7 +21,6 @@ from thermotrack.plans.slices import slice_offsets
 TILE_POINTS = 2000
 DEEPEST_LEVEL = 24
 LEVEL_STEP = 1
-ID_BLOCKS = 10_000
 
 _TILE_SCHEMA = (
     "triangle boolean, id bigint, x double, y double, cx bigint, cy bigint, leaf int, todo boolean, "
@@ -53,8 +52,6 @@ def delaunay_triangles(
         F.max("x").alias("x1"),
         F.min("y").alias("y0"),
         F.max("y").alias("y1"),
-        F.min("id").alias("lowest"),
-        F.max("id").alias("highest"),
     ).first()
     if extent["n"] <= tile_points:
         root = points.withColumns(
@@ -72,8 +69,7 @@ def delaunay_triangles(
             ("c", "sc", "cxx", "cyy"),
         )
     ]
-    saved = checkpointed(found.select(*vertices))  # numbering reads it twice
-    return checkpointed(_numbered(saved, extent["lowest"] or 0, extent["highest"] or 0))
+    return checkpointed(_numbered(found.select(*vertices)))
 
 
 def _side(extent) -> float:
@@ -188,16 +184,20 @@ def _circle_inside(corners, left: float, bottom: float, side: float) -> bool:
     )
 
 
-def _numbered(triangles: DataFrame, low: int, high: int) -> DataFrame:
-    """Add id_triangle = 1..n in the order of the station ids, by blocks of the lowest id."""
-    width = (high - low) // ID_BLOCKS + 1
-    blocked = triangles.withColumn("_block", F.floor((F.col("a.station") - low) / width))
+def _numbered(triangles: DataFrame) -> DataFrame:
+    """Add id_triangle = 1..n in the order of the station ids, by ranges of even count that Spark
+    samples; the saved table keeps each row's range.
+    """
+    ids = ("a.station", "b.station", "c.station")
+    tasks = int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = triangles.repartitionByRange(tasks, *ids)
+    blocked = checkpointed(ranged.withColumn("_block", F.spark_partition_id()))
     sizes = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
     offsets = slice_offsets(sizes, (), "_block", "_n").drop("_n")
     order = Window.partitionBy("_block").orderBy("a.station", "b.station", "c.station")
     number = F.row_number().over(order) + F.col("_offset")
     return (
-        blocked.join(F.broadcast(offsets), "_block")  # at most ID_BLOCKS + 1 rows
+        blocked.join(F.broadcast(offsets), "_block")  # a row per task
         .select(number.cast("bigint").alias("id_triangle"), "a", "b", "c")
     )
 

@@ -1,19 +1,28 @@
-"""Cutting lineage in the shared checkpoint folder of the cluster."""
+"""Cutting lineage with tables in the shared checkpoint folder of the cluster."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir and read back; survives the loss of executors."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local session without it gets a temporary folder of its own."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="thermotrack-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="thermotrack-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written as Parquet and read back: computed once, survives the loss of executors, and later
+    steps read only the columns they need. The files stay until the folder is cleaned.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/thermotrack-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
