@@ -68,29 +68,39 @@ def _state(vp, vn, score) -> Column:
     return F.struct(vp.cast("bigint").alias("vp"), vn.cast("bigint").alias("vn"), score.cast("bigint").alias("score"))
 
 
-def segment_keys(line: Column, n: Column, threshold: int) -> Column:
-    """array<struct<key, is_index>>: hashes of the segments of a line, and of the substrings that
-    could be a segment of a line that is up to threshold characters shorter.
+def _places(threshold: int):
+    """(shorter by, segment, move) of every key of a line: those of its own segments and the others."""
+    for shorter in range(threshold + 1):
+        for i in range(threshold + 1):
+            low, high = max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i)
+            for move in range(low, high + 1):
+                yield shorter, i, move
+
+
+def own_segments(threshold: int) -> list[int]:
+    """Positions of a line's own segments among its keys."""
+    return [at for at, (shorter, _, move) in enumerate(_places(threshold)) if shorter == move == 0]
+
+
+def with_segment_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """lines (line, n) with keys array<bigint>: hashes of the segments of a line, and of the
+    substrings that could be a segment of a line that is up to threshold characters shorter.
 
     A line is cut into threshold + 1 even segments; a line within threshold edits has one of them
     unchanged. Segment i, with i segments before and the rest after it, can have moved by at most i
     places counted from the left and by the rest counted from the right, which leaves few starts.
     """
     parts = threshold + 1
-    out = []
-    for shorter in range(parts):
-        length = n - shorter
-        base, short = F.floor(length / parts).cast("int"), (parts - length % parts).cast("int")
-        for i in range(parts):
-            size = base + F.when(F.lit(i) >= short, 1).otherwise(0)
-            start = base * i + F.greatest(F.lit(0), F.lit(i) - short)
-            low, high = max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i)
-            for move in range(low, high + 1):
-                at = start + move
-                key = F.xxhash64(F.lit(i), length, F.substring(line, at + 1, size))
-                fits = (at >= 0) & (at + size <= n)
-                out.append(F.struct(F.when(fits, key).alias("key"), F.lit(shorter == 0 and move == 0).alias("is_index")))
-    return F.array(*out)
+    cut = lines.select("*", *[c for shorter in range(parts) for c in (
+        F.expr(f"cast((n - {shorter}) div {parts} as int)").alias(f"base_{shorter}"),
+        (parts - (F.col("n") - shorter) % parts).alias(f"short_{shorter}"))])
+    keys = []
+    for shorter, i, move in _places(threshold):
+        base, short = F.col(f"base_{shorter}"), F.col(f"short_{shorter}")
+        size = base + (F.lit(i) >= short).cast("int")
+        start = base * i + F.greatest(F.lit(0), F.lit(i) - short) + (move + 1)
+        keys.append(F.xxhash64(F.lit(i), F.col("n") - shorter, F.substring("line", start, size)))
+    return cut.select(*lines.columns, F.array(*keys).alias("keys"))
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -111,12 +121,12 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = L
     leave the join.
     """
     fuzzy = _lines(docs, doc_id, text).filter(F.col("n") >= least_chars)
-    keys = fuzzy.select("h", F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("k"))
-    live = saved(
-        keys.select("h", F.col("k.key").alias("key")).filter("key is not null").groupBy("key")
-        .agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("key"))
-    rows = fuzzy.select("h", "n", "line", F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("k"))
-    rows = rows.select("h", "n", "line", "k.key", "k.is_index").join(sized(live), "key", "left_semi")
+    fuzzy = with_segment_keys(fuzzy.select("h", "n", "line"), threshold)
+    keys = fuzzy.select("h", F.explode("keys").alias("key"))
+    live = saved(keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+                 .filter("low <> high").select("key"))
+    rows = fuzzy.select("h", "n", "line", F.posexplode("keys").alias("at", "key"))
+    rows = rows.join(sized(live), "key", "left_semi").withColumn("is_index", F.col("at").isin(own_segments(threshold)))
     rows = rows.groupBy("key", "h", "n", "is_index").agg(F.first("line").alias("line"))
     folded = F.lower("line")
     bag = F.array(*[(F.length(folded) - F.length(F.replace(folded, F.lit(c)))).cast("int") for c in BAG])
