@@ -75,28 +75,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     edges = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while not edges.isEmpty():
+    before = None
+    while (now := _digest(edges)) != before and now[0]:
+        before = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            "u", F.least("u", "m").alias("m"))
-        large = (both.join(least, "u").filter("v > u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = saved(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
-                              .alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = saved(small)
-        if _same(edges, small):
-            break
-        edges = small
+        edges = saved(large.join(least, "u").select(
+            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
+            F.col("m").alias("v")).filter("u <> v").distinct())
+    # every vertex but the roots is now the larger end of one edge, to its root
     ids = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return ids.union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def _same(left: DataFrame, right: DataFrame) -> bool:
-    def digest(df):
-        row = df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")),
-                     F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()
-        return tuple(row)
-    return digest(left) == digest(right)
+def _digest(edges: DataFrame) -> tuple:
+    """Count and order-free checksums of the edges, to see whether a round changed them."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")),
+                           F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())

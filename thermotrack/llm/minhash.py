@@ -65,8 +65,10 @@ def near_duplicate_groups(docs: DataFrame, words: int = WORDS, percent: int = PE
     stars = saved(_stars(_live_halves(classes)))
     sets = saved(_sets_of(whole, classes, stars, words))
     links = saved(_confirmed(stars, sets, percent))
-    links = links.union(_across(stars, saved(components(links)), sets, percent))
-    member = classes.join(components(links), F.col("set_id") == F.col("id"), "left").select(
+    roots = saved(components(links))
+    across = _across(stars, roots, sets, percent)
+    roots = _merged(roots, saved(across))
+    member = classes.join(roots, F.col("set_id") == F.col("id"), "left").select(
         "set_id", "doc", F.coalesce("root", "set_id").alias("root"))
     least = member.groupBy("root").agg(F.min("doc").alias("least"))
     placed = saved(member.join(least, "root").select("set_id", "least"))
@@ -208,6 +210,20 @@ def _across(stars: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
     return strays.groupBy(*block).cogroup(others.groupBy(*block)).applyInArrow(compared, "a binary, b binary")
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots of the ids after links between their components: only the components are searched."""
+    if links.isEmpty():
+        return roots
+    root_of = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
+    lifted = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    higher = saved(components(lifted).select(F.col("id").alias("root"), F.col("root").alias("top")))
+    moved = roots.join(higher, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    single = higher.join(roots, F.col("id") == higher["root"], "left_anti").select(
+        F.col("root").alias("id"), F.col("top").alias("root"))
+    return moved.union(single)
+
+
 def _links_between(strays: pa.Table, others: pa.Table, percent: int):
     """Of each stray, one link to each other component: ids of both ends."""
     order = np.argsort(others.column("set_id").to_numpy(zero_copy_only=False))
