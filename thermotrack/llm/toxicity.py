@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from thermotrack.llm.common import packed, saved, unpacked
 from thermotrack.llm.labels import is_held_out, learned_labels
 
-SAMPLE_DOCS = 4000  # of either label at most
-SAMPLE_BYTES = 32 << 20  # of text in all at most
+SAMPLE_DOCS = 3000  # of either label at most
+SAMPLE_BYTES = 24 << 20  # of text in all at most
 LEAST_DOCS = 4  # a word or prefix counts if so many sampled documents have it
 PREFIXES = (3, 4, 5)  # beginnings of a word that count beside the word itself
 ROUNDS = 160
