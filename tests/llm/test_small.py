@@ -86,6 +86,33 @@ def test_lines(spark, docs, empty):
     assert lines.line_classes(empty).count() == lines.dedup_lines(empty).count() == 0
 
 
+def test_short_lines(spark):
+    """Lines of every length against all pairs: an edit for each six characters, two at most."""
+    r = random.Random(4)
+    texts = {"The anhely eran.", "The, anhely eran.", "Are, is anwh reenen.", "Are is anwh reenen.", "short", "shirt"}
+    for _ in range(150):
+        line = "".join(r.choice("abcdé😀 ") for _ in range(r.randrange(1, 34)))
+        texts.add(line)
+        for _ in range(2):
+            chars = list(line)
+            for _ in range(r.randrange(1, 4)):
+                at = r.randrange(len(chars) + 1)
+                chars[at : at + r.randrange(2)] = r.choice(["", "a", "é"])
+            texts.add("".join(chars))
+    texts = sorted((t for t in texts if brute.WORD.search(t)), key=lambda t: (len(t), t))
+    want = dict.fromkeys(range(len(texts)), 0)
+    for i, a in enumerate(texts):
+        for j in range(i + 1, len(texts)):
+            if len(texts[j]) - len(a) <= 2 and brute.distance(a, texts[j]) <= min(2, len(a) // 6):
+                want[i] += 1
+                want[j] += 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.doc_id: x.n_links for x in lines.line_classes(df).collect()}
+    assert got == want
+    assert want[texts.index("The anhely eran.")] == want[texts.index("Are is anwh reenen.")] == 1
+    assert want[texts.index("short")] == 0 and sum(n > 0 for i, n in want.items() if len(texts[i]) < 12) > 10
+
+
 def test_minhash(spark, docs, empty):
     got = minhash.near_duplicate_groups(docs).collect()
     by_id = {r.id: r for r in got}

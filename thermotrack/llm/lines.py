@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from thermotrack.llm.common import WORD, components, null_safe, packed, saved, sized, unpacked
 
 THRESHOLD = 2  # edits between two lines
-LEAST_CHARS = 30  # shorter lines are compared for equality alone
+EDIT_CHARS = 6  # an edit is allowed for each so many code points of the shorter line, up to THRESHOLD
 BAG = "abcdefghijklmnopqrstuvwxyz0123456789 .,"
 
 
@@ -77,29 +77,46 @@ def _places(threshold: int):
                 yield shorter, i, move
 
 
+def _keys(threshold: int):
+    """(edits, shorter by, segment, move) of every key of a line, for each number of allowed edits."""
+    for edits in range(threshold, 0, -1):
+        for place in _places(edits):
+            yield edits, *place
+
+
 def own_segments(threshold: int) -> list[int]:
     """Positions of a line's own segments among its keys."""
-    return [at for at, (shorter, _, move) in enumerate(_places(threshold)) if shorter == move == 0]
+    return [at for at, (_, shorter, _, move) in enumerate(_keys(threshold)) if shorter == move == 0]
+
+
+def allowed_edits(n: Column, threshold: int, edit_chars: int) -> Column:
+    """Edits between two lines that are linked, of which the shorter one has n code points."""
+    return F.least(F.lit(threshold), F.floor(n / edit_chars).cast("int"))
 
 
-def with_segment_keys(lines: DataFrame, threshold: int) -> DataFrame:
+def with_segment_keys(lines: DataFrame, threshold: int, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """lines (line, n) with keys array<bigint>: hashes of the segments of a line, and of the
     substrings that could be a segment of a line that is up to threshold characters shorter.
 
-    A line is cut into threshold + 1 even segments; a line within threshold edits has one of them
-    unchanged. Segment i, with i segments before and the rest after it, can have moved by at most i
-    places counted from the left and by the rest counted from the right, which leaves few starts.
+    A line that allows some edits is cut into one more even segments; a line within so many edits
+    has one of them unchanged. Segment i, with i segments before and the rest after it, can have
+    moved by at most i places counted from the left and by the rest counted from the right, which
+    leaves few starts. Keys for lengths that allow another number of edits are null.
     """
-    parts = threshold + 1
-    cut = lines.select("*", *[c for shorter in range(parts) for c in (
-        F.expr(f"cast((n - {shorter}) div {parts} as int)").alias(f"base_{shorter}"),
-        (parts - (F.col("n") - shorter) % parts).alias(f"short_{shorter}"))])
+    cut = lines.select("*", *[c for edits in range(1, threshold + 1) for shorter in range(edits + 1) for c in (
+        F.expr(f"cast((n - {shorter}) div {edits + 1} as int)").alias(f"base_{edits}_{shorter}"),
+        (edits + 1 - (F.col("n") - shorter) % (edits + 1)).alias(f"short_{edits}_{shorter}"))])
     keys = []
-    for shorter, i, move in _places(threshold):
-        base, short = F.col(f"base_{shorter}"), F.col(f"short_{shorter}")
+    for edits, shorter, i, move in _keys(threshold):
+        base, short, n = F.col(f"base_{edits}_{shorter}"), F.col(f"short_{edits}_{shorter}"), F.col("n") - shorter
         size = base + (F.lit(i) >= short).cast("int")
         start = base * i + F.greatest(F.lit(0), F.lit(i) - short) + (move + 1)
-        keys.append(F.xxhash64(F.lit(i), F.col("n") - shorter, F.substring("line", start, size)))
+        applies = n >= edits * edit_chars
+        if edits < threshold:
+            applies &= n < (edits + 1) * edit_chars
+        # a start before the text would be counted from its end
+        key = F.xxhash64(F.lit(i), n, F.substring("line", start, size))
+        keys.append(F.when(applies & (start >= 1), key))
     return cut.select(*lines.columns, F.array(*keys).alias("keys"))
 
 
@@ -111,18 +128,19 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.withColumn("n", F.length("line")).withColumn("h", F.xxhash64("line"))
 
 
-def line_links(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS,
+def line_links(docs: DataFrame, threshold: int = THRESHOLD, edit_chars: int = EDIT_CHARS,
                doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Distinct pairs (a, b) of hashes of different lines within threshold edits of each other.
+    """Distinct pairs (a, b) of hashes of different lines within threshold edits of each other, and
+    within one edit for each full edit_chars code points of the shorter one.
 
     Keys that only one line has are dropped first, by the smallest and largest line of each key; the
     lines of the others are then brought together by key. Within a key a pair must agree in its
-    counts of letters up to 2 * threshold before its distance is computed, and only linked pairs
+    counts of letters up to twice the allowed edits before its distance is computed, and only linked pairs
     leave the join.
     """
-    fuzzy = _lines(docs, doc_id, text).filter(F.col("n") >= least_chars)
-    fuzzy = with_segment_keys(fuzzy.select("h", "n", "line"), threshold)
-    keys = fuzzy.select("h", F.explode("keys").alias("key"))
+    fuzzy = _lines(docs, doc_id, text).filter(F.col("n") >= edit_chars)
+    fuzzy = with_segment_keys(fuzzy.select("h", "n", "line"), threshold, edit_chars)
+    keys = fuzzy.select("h", F.explode("keys").alias("key")).filter("key is not null")
     live = saved(keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
                  .filter("low <> high").select("key"))
     rows = fuzzy.select("h", "n", "line", F.posexplode("keys").alias("at", "key"))
@@ -134,23 +152,26 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = L
     index = rows.filter("is_index").alias("i")
     probe = rows.alias("p")
     differ = F.aggregate(F.zip_with("i.bag", "p.bag", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    allowed = allowed_edits(F.col("i.n"), threshold, edit_chars)
     found = index.join(probe, [
         F.col("i.key") == F.col("p.key"), F.col("i.h") != F.col("p.h"),
-        F.col("p.n") - F.col("i.n") <= threshold,
+        F.col("p.n") - F.col("i.n") <= allowed,
         ~F.col("p.is_index") | (F.col("i.h") < F.col("p.h")),
-        differ <= 2 * threshold,
-        banded_distance(F.col("p.line"), F.col("i.line"), threshold) <= threshold])
+        differ <= 2 * allowed,
+        banded_distance(F.col("p.line"), F.col("i.line"), threshold) <= allowed])
     return found.select(F.least("i.h", "p.h").alias("a"), F.greatest("i.h", "p.h").alias("b")).distinct()
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS,
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, edit_chars: int = EDIT_CHARS,
                  doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each line that has a word: doc_id, text_hash, line_no, class_doc_id, class_line_no,
     root_doc_id, root_line_no, n_links, kept.
 
     Equal lines are one class, named by its first line (smallest doc_id, null last, then line_no).
-    Classes within threshold edits are linked, if both have at least least_chars code points; n_links
-    counts the different other lines that a line is linked with. root is the first line that can be
+    Classes within threshold edits are linked. Lines of every length are compared; short ones by a
+    relative rule, at most one edit for each full edit_chars code points of the shorter line: with 2
+    edits and 6 code points, 2 edits from 12 code points on, 1 from 6 to 11, none (equality) below.
+    n_links counts the different other lines that a line is linked with. root is the first line that can be
     reached over links; a line is kept if it is its own root. Lines are cut at \\n alone.
 
     Null, empty and blank texts have no lines. Rows that repeat both doc_id and text are the same
@@ -160,7 +181,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int =
     occurrences = saved(_lines(docs, doc_id, text).select("id", "text_hash", "line_no", "h", "n"))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "line_no")
     classes = occurrences.groupBy("h", "n").agg(F.min(place).alias("first"), F.count("*").alias("times"))
-    links = saved(line_links(docs, threshold, least_chars, doc_id, text))
+    links = saved(line_links(docs, threshold, edit_chars, doc_id, text))
     both = links.union(links.select("b", "a"))
     roots = components(links).join(both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links")), "id")
     placed = saved(classes.join(roots.withColumnRenamed("id", "h"), "h", "left")
@@ -179,14 +200,14 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int =
         (F.col("root_first.id").eqNullSafe(F.col("id")) & (F.col("root_first.line_no") == F.col("line_no"))).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS,
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, edit_chars: int = EDIT_CHARS,
                 doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every line taken out of the text that `line_classes` doesn't keep.
 
     Blank lines stay. A document that had lines with words and loses all of them is a copy of others,
     line by line, and goes; documents without any word stay as they are.
     """
-    lines = line_classes(docs, threshold, least_chars, doc_id, text)
+    lines = line_classes(docs, threshold, edit_chars, doc_id, text)
     lost = saved(lines.groupBy(F.col("doc_id").alias("id"), "text_hash").agg(
         F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("lost"),
         F.every("kept").alias("whole"), F.some("kept").alias("any")).filter("not whole").drop("whole"))
