@@ -211,6 +211,20 @@ def test_fingerprints(spark, docs, empty):
     assert fingerprints.edited_likeness(docs.filter("doc_id = 6")).first().near_next == 1.0
 
 
+def test_every_text_has_an_anchor():
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdefghijkl mnopqrst") for _ in range(n)) for n in range(1, 45) for _ in range(40)]
+    marks = fingerprints.fingerprints_of(["", *texts])
+    assert marks[0] == "" and all(marks[1:])
+    assert fingerprints.fingerprints_of(texts[:1000:7]) == marks[1:1001:7]  # whatever is beside it
+    unrelated = [(a, b) for a, b in zip(marks[1:], marks[41:], strict=False)][23 * 40 : 37 * 40]
+    assert all(a != b and fingerprints.likeness_of(a, b) == 0.0 for a, b in unrelated)
+    assert all(fingerprints.likeness_of("", m) == 0.0 for m in marks[1:])
+    halves = [t[: len(t) - len(t) // 2] + "#" * (len(t) // 2) for t in texts[23 * 40 : 37 * 40]]
+    edited = fingerprints.fingerprints_of(halves)
+    assert all(fingerprints.likeness_of(a, b) < 1.0 for a, b in zip(marks[1 + 23 * 40 :], edited, strict=False))
+
+
 def test_anchors_are_context_free():
     r = random.Random(2)
     text = "".join(r.choice("abcdefgh ") for _ in range(2000))

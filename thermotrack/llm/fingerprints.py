@@ -27,7 +27,8 @@ def fingerprints_of(texts: list[str]) -> list[str]:
     A k-mer is an anchor when the smallest hash of its s-mers is that of its first or last one, so
     whether it is chosen depends on its own characters alone. A fingerprint has for each anchor four
     characters of hash and one for the distance from the anchor before it (63 and more: one value).
-    A text shorter than a k-mer is one anchor, an empty text has none.
+    A text shorter than a k-mer is one anchor. One with no such k-mer, of K to 2 * K - S - 2 characters,
+    has the k-mer of the smallest code. Only an empty text has no anchor.
     """
     lengths = np.array([len(t) for t in texts], np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -45,14 +46,17 @@ def fingerprints_of(texts: list[str]) -> list[str]:
         chosen = (inner[:n] == least) | (inner[last : last + n] == least)
         chosen &= np.arange(n) + K <= np.repeat(starts[1:], lengths)[:n]
         at = np.flatnonzero(chosen)
-        with np.errstate(over="ignore"):
-            code = mixed((inner[at] * BASE + inner[at + last // 2]) * BASE + inner[at + last])
+        code = _codes(inner, at)
     bounds = np.searchsorted(at, starts)
     gaps = np.diff(at, prepend=0)
     owners = bounds[:-1][bounds[:-1] < bounds[1:]]
     gaps[owners] = at[owners] - starts[:-1][bounds[:-1] < bounds[1:]]
     rows = _rows(code, np.minimum(gaps, 63)).tobytes().decode("ascii")
     out = [rows[WIDTH * b : WIDTH * e] for b, e in zip(bounds[:-1], bounds[1:], strict=True)]
+    for i in np.flatnonzero((lengths >= K) & (bounds[:-1] == bounds[1:])):
+        codes = _codes(inner, np.arange(starts[i], starts[i + 1] - K + 1))
+        least = codes.argmin()
+        out[i] = _rows(codes[least : least + 1], np.minimum([least], 63)).tobytes().decode("ascii")
     for i in np.flatnonzero((lengths > 0) & (lengths < K)):
         own = points[starts[i] : starts[i + 1]]
         code = window_hashes(own + BASE, len(own)) ^ np.uint64(len(own))
@@ -60,6 +64,13 @@ def fingerprints_of(texts: list[str]) -> list[str]:
     return out
 
 
+def _codes(inner: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Codes of the k-mers that begin at some places, from the hashes of their s-mers."""
+    last = K - S
+    with np.errstate(over="ignore"):
+        return mixed((inner[at] * BASE + inner[at + last // 2]) * BASE + inner[at + last])
+
+
 def _rows(code: np.ndarray, gaps: np.ndarray) -> np.ndarray:
     digits = [(code >> np.uint64(40 + 6 * i)).astype(np.int64) & 63 for i in range(4)]
     return _DIGITS[np.stack([*digits, gaps], axis=1)] if len(code) else np.empty((0, WIDTH), np.uint8)
