@@ -27,7 +27,8 @@ def _like(result: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects the documents that score as toxic; learned from all documents that have labels."""
+    """Rejects the documents that score as toxic; learned from a bounded sample
+    of the labelled documents (`fit_toxicity`)."""
     model = fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return _like(score_toxicity(docs, model).filter("not is_toxic"), docs)
 

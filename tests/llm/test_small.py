@@ -250,6 +250,20 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.fit_toxicity(docs, labels.limit(0)).weights == {}
 
 
+def test_toxicity_passes_over_long_texts(spark):
+    order = [x.id for x in spark.range(400).orderBy(F.xxhash64("id")).collect()]
+    early = set(order[:40])
+    rows = [(i, ("nasty words here" if i % 3 == 0 else "kind words here") + (" sun rain" * 3000 if i in early else ""))
+            for i in range(400)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+    model = toxicity.fit_toxicity(texts, labels, sample_bytes=20_000)
+    got = {x.doc_id: x.is_toxic for x in toxicity.score_toxicity(texts, model).collect()}
+    assert all(got[i] == (i % 3 == 0) for i in range(400))
+    with pytest.raises(ValueError, match="no toxicity model"):
+        toxicity.fit_toxicity(texts, labels, sample_bytes=10)
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     assert {r.quality for r in quality.quality_of(docs, labels).collect()} == {0.5}

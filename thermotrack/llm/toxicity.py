@@ -112,11 +112,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_D
     """Learn word weights from labels of documents: which sentences are toxic is never told.
 
     The model is fitted on a bounded sample: of the labelled documents that aren't held out, the first
-    sample_docs of either label in the order of a hash of the id, and of those as many as have
-    sample_bytes of text together, taken by turns from both labels. Texts are whole. The sampled
+    sample_docs of either label in the order of a hash of the id, and of those, by turns from both
+    labels, each one whose text still fits into sample_bytes together. Texts are whole. The sampled
     labels are weighed to the shares of all learned labels. Documents leave the executors as word
     hashes; words in fewer than LEAST_DOCS of them are left out. Without a document of either label
-    the model scores 0.
+    the model scores 0; documents of both labels from which nothing can be learned are an error.
     """
     learned = saved(learned_labels(labels, "toxic"))
     totals = {r[0]: r[1] for r in learned.groupBy("label").count().collect()}
@@ -131,16 +131,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_D
     known = rows.select("id", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).groupBy(
         "id", "label").agg(F.max("size").alias("size")).select("id", "label", "size", F.xxhash64("id").alias("h")).collect()
     by_label = [sorted((r for r in known if r["label"] == y), key=lambda r: (r["h"], r["id"])) for y in (0, 1)]
+    if not all(by_label):
+        return ToxicityModel()
     used, size = [], 0
-    for n in range(max(map(len, by_label), default=0)):
-        turn = [part[n] for part in by_label if n < len(part)]
-        size += sum(r["size"] for r in turn)
-        if size > sample_bytes and used:
-            break
-        used += turn
+    for n in range(max(map(len, by_label))):
+        for r in (part[n] for part in by_label if n < len(part)):
+            if size + r["size"] <= sample_bytes:
+                used.append(r)
+                size += r["size"]
     wanted = chosen.sparkSession.createDataFrame([(r["id"],) for r in used], "id bigint")
     tokens = rows.join(F.broadcast(wanted), "id").mapInArrow(_hashed, "label int, words binary, sizes binary").collect()
-    return _trained(tokens, totals)
+    model = _trained(tokens, totals)
+    if not model.weights:
+        raise ValueError(f"no toxicity model: nothing learned from {len(tokens)} of {len(known)} labelled documents "
+                         f"({size} bytes of text, at most {sample_bytes})")
+    return model
 
 
 def _hashed(batches):
