@@ -468,9 +468,33 @@ _FILLED_RAW = (
  row_number() over (partition by thermo_name order by date_trunc('minute', "timestamp"), id) as pos
  from inter""",
 )
+_DENSE = (
+    "dense",
+    """select numer_sta, "date", t_ground_0, delta_t from station_obs
+ union all select numer_sta, "date" + interval '90 seconds', t_ground_0 + 1, delta_t from station_obs
+ where numer_sta % 2 = 0
+ union all select numer_sta, "date", t_ground_0, delta_t + 2 from station_obs where numer_sta % 5 = 0""",
+)
+
+
+def _share(u: str, v: str) -> str:
+    """Area of the point and two vertices over that of the triangle, half of |d|."""
+    return f"2*((x{u}-lon)*(y{v}-lat) - (x{v}-lon)*(y{u}-lat)) / d"
+
+
+_MATCHES = (
+    "matches",
+    f"""select l.id, l.id_triangle, v.n as station, v.w as weight, o."date" as seen, o.t_ground_0, o.delta_t,
+ (epoch_us(l."timestamp") - epoch_us(o."date")) / 360e6 as time_interp_weight
+ from located l, unnest([{{'n': na, 'w': {_share("b", "c")}}}, {{'n': nb, 'w': {_share("c", "a")}}},
+ {{'n': nc, 'w': {_share("a", "b")}}}]) as u(v)
+ join dense o on o.numer_sta = v.n and o."date" > l."timestamp" - interval '6 minutes'
+ and l."timestamp" >= o."date" """,
+)
 _SHUFFLED = (
     "locate_in_triangles",
     "join_station_observations",
+    "join_station_observations_all",
     "overlap_fraction",
     "lcz_fractions",
     "transect_summary",
@@ -556,6 +580,20 @@ def _statements() -> dict[str, str]:
         "join_station_observations": _with(*_MOBILE_INTER)
         + """ select id, id_triangle, n as numer_sta, round(t0, 6) as t_ground_0,
  round(dt, 6) as delta_t, round(weight, 6) + 0e0 as time_interp_weight from reports""",
+        "join_station_observations_all": _with(*_MOBILE_INTER, _DENSE, _MATCHES)
+        + f" select id, id_triangle, station, {_r('t_ground_0', 'delta_t', 'time_interp_weight', 'weight')} from matches",
+        "join_station_observations_dense": _with(
+            *_MOBILE_INTER,
+            _DENSE,
+            _MATCHES,
+            (
+                "last",
+                """select id, id_triangle, station, max(row(seen, t_ground_0, delta_t, time_interp_weight)) as r
+ from matches group by id, id_triangle, station""",
+            ),
+        )
+        + """ select id, id_triangle, station as numer_sta, round(r[2], 6) as t_ground_0,
+ round(r[3], 6) as delta_t, round(r[4], 6) + 0e0 as time_interp_weight from last""",
         "interpolate_mobile": _with(*_MOBILE_INTER) + " " + _inter_select(_MOBILE_CARRY),
         "interpolate_meteo": _with(*_METEO_INTER) + " " + _inter_select(_METEO_CARRY),
         "interpolate_reference": _with(*_REFERENCE_INTER)

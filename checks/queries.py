@@ -170,7 +170,10 @@ def _plane(spark, sf):
 
 
 def _observations(spark, sf):
-    joined = tt.join_station_observations(_located(spark, sf), _obs(spark, sf))
+    return _by_station(tt.join_station_observations(_located(spark, sf), _obs(spark, sf)))
+
+
+def _by_station(joined):
     vertices = F.array(
         *[
             F.when(
@@ -185,6 +188,27 @@ def _observations(spark, sf):
     )
 
 
+def _dense_obs(spark, sf):
+    """Reports of every second station twice in six minutes, and of every fifth one doubled as well."""
+    obs = _obs(spark, sf)
+    moved = obs.filter("numer_sta % 2 = 0").withColumns(
+        {"date": F.expr("date + interval 90 seconds"), "t_ground_0": F.col("t_ground_0") + 1}
+    )
+    doubled = obs.filter("numer_sta % 5 = 0").withColumn("delta_t", F.col("delta_t") + 2)
+    return obs.unionByName(moved).unionByName(doubled)
+
+
+def _observations_all(spark, sf):
+    joined = tt.join_station_observations(_located(spark, sf), _dense_obs(spark, sf), latest_only=False)
+    return joined.select(
+        "id", "id_triangle", "station", "t_ground_0", "delta_t", "time_interp_weight", "weight"
+    )
+
+
+def _observations_dense(spark, sf):
+    return _by_station(tt.join_station_observations(_located(spark, sf), _dense_obs(spark, sf)))
+
+
 def _project_points(spark, sf):
     moved = tt.project_points_3857(_mobile_raw(spark, sf))
     return moved.select("id", F.round("x3857", 3).alias("x3857"), F.round("y3857", 3).alias("y3857"))
@@ -334,6 +358,8 @@ _QUERIES = {
     "locate_in_triangles": _locate,
     "pick_one_per_id": _pick_one,
     "join_station_observations": _observations,
+    "join_station_observations_all": _observations_all,
+    "join_station_observations_dense": _observations_dense,
     "interpolate_plane": _plane,
     "interpolate_mobile": _mobile_inter,
     "interpolate_meteo": lambda spark, sf: tt.interpolate_meteo(
@@ -368,6 +394,7 @@ _QUERIES |= {
     for name in (
         "locate_in_triangles",
         "join_station_observations",
+        "join_station_observations_all",
         "overlap_fraction",
         "lcz_fractions",
         "transect_summary",

@@ -10,13 +10,17 @@ SCRIPT = """
 import sys
 sys.path.insert(0, {repo!r})
 import __spark_entry__ as entry
-from checks.compare import session
-print("rows", entry.queries()["delaunay_triangles"](session("2"), "/root/testdata/sf0.001").count())
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("rows", entry.queries()["delaunay_triangles"](spark, "/root/testdata/sf0.001").count())
 """
 
 
 def test_from_another_folder(tmp_path):
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    env = dict(os.environ)
+    paths = [p for p in env.pop("PYTHONPATH", "").split(os.pathsep) if p and Path(p).resolve() != REPO]
+    if paths:
+        env["PYTHONPATH"] = os.pathsep.join(paths)
     done = subprocess.run(
         [sys.executable, "-c", SCRIPT.format(repo=str(REPO))],
         cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300, check=False,

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from thermotrack.functions.geo import edge_side
 from thermotrack.functions.times import epoch_us
-from thermotrack.plans.checkpoints import checkpointed
+from thermotrack.operators.leaves import LEAF_KEY, LEAF_TRIANGLES, TriangleLeaves
+from thermotrack.plans.checkpoints import checkpointed, checkpointed_count
 from thermotrack.plans.sided_join import is_small, join_on_cell, shuffled
 
 # Report step of the stations in seconds, temperature change per metre.
@@ -37,63 +38,36 @@ def _with_owners(triangles: DataFrame) -> DataFrame:
     ends = {v: (corner[v], corner[v]) for v in _VERTICES} | {
         u + v: (corner[u], corner[v]) for u, v in (("a", "b"), ("b", "c"), ("a", "c"))
     }
-    parts = triangles.select(
-        "id_triangle",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("part"), u.alias("u"), v.alias("v"))
-                    for name, (u, v) in ends.items()
-                ]
-            )
-        ).alias("p"),
-    ).select("id_triangle", "p.*")
-    owners = parts.groupBy("u", "v").agg(F.min("id_triangle").alias("owner"))
-    owned = parts.join(shuffled(owners), ["u", "v"]).withColumn(
-        "own", F.col("owner") == F.col("id_triangle")
+    parts = F.array(
+        *[
+            F.struct(F.lit(name).alias("part"), u.alias("u"), v.alias("v"))
+            for name, (u, v) in ends.items()
+        ]
     )
-    flags = owned.groupBy("id_triangle").agg(
-        *[F.max(F.when(F.col("part") == name, F.col("own"))).alias(f"own_{name}") for name in ends]
+    shared = Window.partitionBy("_p.u", "_p.v")
+    owned = triangles.withColumn("_p", F.explode(parts)).withColumn(
+        "_own", F.min("id_triangle").over(shared) == F.col("id_triangle")
     )
-    return triangles.join(shuffled(flags), "id_triangle")
-
-
-def _cells(triangles: DataFrame) -> DataFrame:
-    """Triangles on square grids whose side fits their size: at most four cells for each one,
-    however uneven the stations are spread. Sides are powers of four.
-    """
-    def low(axis):
-        return F.least(*[f"{axis}_{v}" for v in _VERTICES])
-
-    def high(axis):
-        return F.greatest(*[f"{axis}_{v}" for v in _VERTICES])
-
-    def spread(axis):
-        first = F.floor(low(axis) / F.col("side")).cast("bigint")
-        last = F.floor(high(axis) / F.col("side")).cast("bigint")
-        return F.explode(F.sequence(first, last))
-
-    size = F.greatest(high("x") - low("x"), high("y") - low("y"))
-    twice = _edge_side("a", "b", F.col("x_c"), F.col("y_c"))
-    return (
-        triangles.withColumn("twice", twice)
-        .filter(F.col("twice") != 0)
-        .withColumn("level", (F.ceil(F.log2(size) / 2) * 2).cast("int"))
-        .withColumn("side", F.pow(F.lit(2.0), F.col("level")))
-        .withColumn("cell_x", spread("x"))
-        .withColumn("cell_y", spread("y"))
-        .drop("side")
+    return owned.groupBy("id_triangle").agg(
+        *[F.first(c).alias(c) for c in triangles.columns if c != "id_triangle"],
+        *[F.max(F.when(F.col("_p.part") == name, F.col("_own"))).alias(f"own_{name}") for name in ends],
     )
 
 
 def locate_in_triangles(
-    points: DataFrame, triangles: DataFrame, one_per_point: bool = False
+    points: DataFrame,
+    triangles: DataFrame,
+    one_per_point: bool = False,
+    leaf_triangles: int = LEAF_TRIANGLES,
 ) -> DataFrame:
     """Inner join of points with the triangles that hold them, borders included.
 
     Adds id_triangle, the stations sta_a/b/c and the linear weights w_a/b/c. A point on a shared
     edge or vertex comes once per triangle, or only with the lowest id_triangle if one_per_point
     is set; the latter is decided inside each row and needs no shuffle.
+
+    Triangles are cut to the leaves of a tree of square cells (`TriangleLeaves`), so a point has one
+    key and meets at most leaf_triangles triangles, however thin they are.
     """
     sorted_vertices = F.array_sort(F.array(*_VERTICES))
     ordered = triangles.withColumn("_v", sorted_vertices).select(
@@ -106,22 +80,16 @@ def locate_in_triangles(
     )
     if one_per_point:
         ordered = _with_owners(ordered)
-    cells = checkpointed(_cells(ordered))
-    counts = cells.groupBy("level").count().collect()  # a few rows, one per power of four
-    sides = [
-        F.struct(F.lit(r["level"]).alias("level"), F.lit(2.0 ** r["level"]).alias("side"))
-        for r in counts
-    ]
-    sides = sides or [F.struct(F.lit(0).alias("level"), F.lit(1.0).alias("side"))]
-    keyed = (
-        points.withColumn("_grid", F.explode(F.array(*sides)))
-        .withColumn("level", F.col("_grid.level"))
-        .withColumn("cell_x", F.floor(F.col("lon") / F.col("_grid.side")).cast("bigint"))
-        .withColumn("cell_y", F.floor(F.col("lat") / F.col("_grid.side")).cast("bigint"))
-        .drop("_grid")
-    )
-    keys = ("level", "cell_x", "cell_y")
-    joined = join_on_cell(keyed, cells, keys, "id", sum(r["count"] for r in counts))
+    ends = {
+        axis: [f(g(*[F.col(v)[axis] for v in _VERTICES])) for f, g in ((F.min, F.least), (F.max, F.greatest))]
+        for axis in "xy"
+    }
+    box = triangles.agg(F.count("*").alias("n"), *[(high - low).alias(a) for a, (low, high) in ends.items()]).first()
+    twice = _edge_side("a", "b", F.col("x_c"), F.col("y_c"))
+    proper = ordered.withColumn("twice", twice).filter("twice <> 0")
+    leaves = TriangleLeaves(proper, box["n"], max(box["x"] or 0.0, box["y"] or 0.0), leaf_triangles)
+    keyed = leaves.with_leaf(points, "lon", "lat")
+    joined = join_on_cell(keyed, leaves.pieces, LEAF_KEY, "id", leaves.rows)
 
     def share(u, v, direction):
         return direction * _edge_side(u, v, F.col("lon"), F.col("lat")) / F.col("twice")
@@ -151,74 +119,111 @@ def join_station_observations(
     station: str = "numer_sta",
     date: str = "date",
     ts: str = "timestamp",
+    latest_only: bool = True,
 ) -> DataFrame:
-    """Add obs_a/b/c: for each vertex station its latest report in (ts - window, ts], or NULL.
-    Points without any report are dropped.
-
-    Points are not multiplied by vertices. The distinct (triangle, time bucket) pairs that occur
-    are looked up in the reports, and each point then meets the few reports of its pair: those of
-    three stations in two buckets. Pairs and their reports are saved and counted: while they are
-    few they are broadcast, and then neither the reports nor the points are shuffled.
+    """Join each located point with the reports of its vertex stations in (ts - window, ts].
+
+    By default one row per located point, with obs_a/b/c: the latest report of each station, or NULL
+    (of several at one instant the one with the largest t_ground_0, then delta_t). With
+    latest_only=False one row per point and report, with vertex ('a', 'b', 'c'), station, t_ground_0,
+    delta_t, time_interp_weight, and weight, the point's linear weight of that vertex. Points without
+    any report are dropped.
+
+    Points are not multiplied by vertices. The distinct (triangle, time bucket) pairs that occur meet
+    the reports of their three stations in two buckets by an equi-join. For the latest reports, windows
+    over a pair turn its reports into segments of time, each with what the three stations said last,
+    and a point joins the one segment it lies in. For all reports it joins those of its pair that lie
+    in its window. No list of reports is built, however often a station reports. Pairs and what is
+    found for them are saved and counted: while they are few they are broadcast, and the points stay
+    where they are.
     """
     window_us = window_seconds * 1_000_000
     located = checkpointed(located)  # the join with the triangles is read twice
     bucketed = located.withColumn("_us", epoch_us(F.col(ts))).withColumn(
         "_bucket", F.floor(F.col("_us") / window_us).cast("bigint")
     )
-    pairs = checkpointed(
-        bucketed.select("id_triangle", "_bucket", "sta_a", "sta_b", "sta_c").distinct()
-    )
-    wanted = (
-        pairs.select(
-            "id_triangle",
-            "_bucket",
-            F.posexplode(F.array("sta_a", "sta_b", "sta_c")).alias("vertex", "_station"),
-        )
-        .withColumn("_report_bucket", F.explode(F.array(F.col("_bucket") - 1, F.col("_bucket"))))
-    )
     reports = obs.select(
         F.col(station).cast("bigint").alias("_station"),
-        epoch_us(F.col(date)).alias("us"),
+        epoch_us(F.col(date)).alias("_at"),
         F.col("t_ground_0").cast("double").alias("t_ground_0"),
         F.col("delta_t").cast("double").alias("delta_t"),
-    ).withColumn("_report_bucket", F.floor(F.col("us") / window_us).cast("bigint"))
-    few = is_small(wanted, 6 * pairs.count())
-    sided = F.broadcast(wanted) if few else shuffled(wanted)
-    found = checkpointed(
-        reports.join(sided, ["_station", "_report_bucket"])
-        .groupBy("id_triangle", "_bucket")
-        .agg(F.collect_list(F.struct("us", "t_ground_0", "delta_t", "vertex")).alias("_reports"))
     )
-    reports_found = found.agg(F.sum(F.size("_reports") + 1)).first()[0] or 0
-    found = F.broadcast(found) if is_small(found, reports_found) else shuffled(found)
-
-    def latest(k) -> Column:
-        usable = F.filter(
-            "_reports",
-            lambda o: (o["vertex"] == k)
-            & (o["us"] <= F.col("_us"))
-            & (o["us"] > F.col("_us") - window_us),
+    found = _reports_of_pairs(bucketed, reports, window_us)
+    found, rows = checkpointed_count(_segments(found) if latest_only else found)
+    joined = join_on_cell(bucketed, found, ("id_triangle", "_bucket"), "id", rows)
+
+    def weight(at) -> Column:
+        return (F.col("_us") - at) / window_us
+
+    if not latest_only:
+        inside = (F.col("_at") <= F.col("_us")) & (F.col("_at") > F.col("_us") - window_us)
+        own = F.element_at(
+            F.create_map(*[x for v in _VERTICES for x in (F.lit(v), F.col(f"w_{v}"))]), F.col("vertex")
         )
-        return F.array_max(usable)
+        return joined.filter(inside).select(
+            *located.columns,
+            "vertex",
+            F.col("_station").alias("station"),
+            "t_ground_0",
+            "delta_t",
+            weight(F.col("_at")).alias("time_interp_weight"),
+            own.alias("weight"),
+        )
+    inside = (F.col("_from") <= F.col("_us")) & (F.col("_us") < F.col("_until"))
+
+    def valid(v) -> Column:
+        last = F.col(f"last_{v}")
+        in_window = last["at"] > F.col("_us") - window_us
+        said = F.struct(
+            last["t_ground_0"].alias("t_ground_0"),
+            last["delta_t"].alias("delta_t"),
+            weight(last["at"]).alias("time_interp_weight"),
+        )
+        return F.when(in_window, said).alias(f"obs_{v}")
+
+    valued = joined.filter(inside).select(*located.columns, *[valid(v) for v in _VERTICES])
+    return valued.filter(F.coalesce("obs_a", "obs_b", "obs_c").isNotNull())
+
 
-    joined = bucketed.join(found, ["id_triangle", "_bucket"]).withColumns(
-        {f"obs_{v}": latest(k) for k, v in enumerate(_VERTICES)}
+def _reports_of_pairs(bucketed: DataFrame, reports: DataFrame, window_us: int) -> DataFrame:
+    """The reports that points of each (id_triangle, _bucket) may need: vertex, _station, _at, values."""
+    corners = [
+        F.struct(F.lit(v).alias("vertex"), F.col(f"sta_{v}").cast("bigint").alias("_station"))
+        for v in _VERTICES
+    ]
+    pairs, n = checkpointed_count(
+        bucketed.select("id_triangle", "_bucket", *[f"sta_{v}" for v in _VERTICES]).distinct()
     )
-    weighted = joined.withColumns(
-        {
-            f"obs_{v}": F.when(
-                F.col(f"obs_{v}").isNotNull(),
-                F.struct(
-                    F.col(f"obs_{v}.t_ground_0"),
-                    F.col(f"obs_{v}.delta_t"),
-                    ((F.col("_us") - F.col(f"obs_{v}.us")) / window_us).alias("time_interp_weight"),
-                ),
-            )
-            for v in _VERTICES
-        }
+    wanted = (
+        pairs.select("id_triangle", "_bucket", F.explode(F.array(*corners)).alias("_c"))
+        .select("id_triangle", "_bucket", "_c.*")
+        .withColumn("_report_bucket", F.explode(F.array(F.col("_bucket") - 1, F.col("_bucket"))))
     )
-    return weighted.filter(F.coalesce("obs_a", "obs_b", "obs_c").isNotNull()).select(
-        *located.columns, "obs_a", "obs_b", "obs_c"
+    few = is_small(wanted, 6 * n)
+    return reports.withColumn("_report_bucket", F.floor(F.col("_at") / window_us).cast("bigint")).join(
+        F.broadcast(wanted) if few else shuffled(wanted), ["_station", "_report_bucket"]
+    ).drop("_report_bucket")
+
+
+def _segments(found: DataFrame) -> DataFrame:
+    """Half-open spans [_from, _until) of each pair's time between two instants of reports, with the
+    last report of each vertex station so far.
+    """
+    said = F.struct(F.col("_at").alias("at"), "t_ground_0", "delta_t")
+    pair = Window.partitionBy("id_triangle", "_bucket")
+    order = pair.orderBy("_at", "t_ground_0", "delta_t")  # nulls first: the largest comes last
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        found.withColumns(
+            {
+                f"last_{v}": F.last(F.when(F.col("vertex") == v, said), ignorenulls=True).over(so_far)
+                for v in _VERTICES
+            }
+            | {"_until": F.coalesce(F.lead("_at").over(order), F.lit((1 << 63) - 1))}
+        )
+        .withColumnRenamed("_at", "_from")
+        .filter(F.col("_from") < F.col("_until"))
+        .select("id_triangle", "_bucket", "_from", "_until", *[f"last_{v}" for v in _VERTICES])
     )
 
 

@@ -3,7 +3,8 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -26,3 +27,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{scratch_folder(spark)}/thermotrack-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """`checkpointed`, and the number of rows, counted while they are written."""
+    seen = Observation()
+    saved = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return saved, seen.get["rows"]
