@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -89,3 +89,20 @@ def distance(a, b):
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
     return row[-1]
+
+
+def line_links(lines, threshold=2, edit_chars=6):
+    """{line: lines within so many edits and one for each full edit_chars characters of the shorter one}"""
+    lines = sorted(lines, key=len)
+    links = {line: set() for line in lines}
+    counts = {line: Counter(line) for line in lines}
+    for n, a in enumerate(lines):
+        allowed = min(threshold, len(a) // edit_chars)
+        thirds = [a[i * len(a) // (allowed + 1) : (i + 1) * len(a) // (allowed + 1)] for i in range(allowed + 1)]
+        for b in lines[n + 1 :] if allowed else ():
+            if len(b) - len(a) > allowed:
+                break
+            if any(t in b for t in thirds) and (counts[a] - counts[b]).total() <= allowed and distance(a, b) <= allowed:
+                links[a].add(b)
+                links[b].add(a)
+    return links

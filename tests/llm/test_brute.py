@@ -28,32 +28,29 @@ def test_sql(spark, name):
     assert compare(spark, connect(SF), registry.queries()[name], registry.oracle_sql()[name], SF) is None
 
 
-def test_lines(spark, docs):
-    got = {(r.doc_id, r.line_no): r for r in registry.op2_line_dedup(spark, SF).collect()}
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_lines(spark, sf):
+    docs = duckdb.connect().execute(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
+    got = {(r.doc_id, r.line_no): r for r in registry.op2_line_dedup(spark, sf).collect()}
     places = {}
     for i, text in sorted(docs):
         for n, line in enumerate((text or "").split("\n")):
             if brute.WORD.search(line):
                 places.setdefault(line, []).append((i, n))
-    lines = sorted(places, key=len)
-    edges, links = [], dict.fromkeys(lines, 0)
-    for n, a in enumerate(lines):
-        for b in lines[n + 1 :]:
-            if len(b) - len(a) > 2:
-                break
-            thirds = [a[: len(a) // 3], a[len(a) // 3 : 2 * len(a) // 3], a[2 * len(a) // 3 :]]
-            if len(a) >= 30 and any(t in b for t in thirds) and brute.distance(a, b) <= 2:
-                edges.append((places[a][0], places[b][0]))
-                links[a] += 1
-                links[b] += 1
-    roots = brute.roots_of(edges, [p[0] for p in places.values()])
+    links = brute.line_links(places)
+    roots = brute.roots_of([(places[a][0], places[b][0]) for a in links for b in links[a]], [p[0] for p in places.values()])
     assert len(got) == sum(map(len, places.values()))
+    stays = {line for line, at in places.items() if got[at[0]].kept}
     for line, at in places.items():
         for place in at:
             r = got[place]
             assert (r.class_doc_id, r.class_line_no) == at[0]
             assert (r.root_doc_id, r.root_line_no) == roots[at[0]]
-            assert (r.n_links, r.kept) == (links[line], place == roots[at[0]])
+            assert (r.n_links, r.kept) == (len(links[line]), place == at[0] and line in stays)
+        if line in stays:
+            assert not links[line] & stays
+        else:
+            assert links[line] & stays and roots[at[0]] != at[0]
 
 
 def test_bpe(spark, docs):

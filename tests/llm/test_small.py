@@ -86,6 +86,39 @@ def test_lines(spark, docs, empty):
     assert lines.line_classes(empty).count() == lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_repeated_ids(spark):
+    for i in (None, 5):
+        df = spark.createDataFrame([(i, "L of both\nfoo foo foo"), (i, "L of both\nbar bar bar"), (i, "L of both\nbar bar bar")],
+                                   "doc_id bigint, text string")
+        kept = [r for r in lines.line_classes(df).collect() if r.kept and r.line_no == 0]
+        assert len({r.text_hash for r in kept}) == 1
+        texts = sorted(r.text for r in lines.dedup_lines(df).collect())
+        assert "".join(set(texts)).count("L of both") == 1 and len(texts) == 3
+
+
+def test_chain_of_lines(spark):
+    """Each line is two edits from the one before; a line goes only if one beside it stays."""
+    texts = ["".join("x" if k < 2 * n else "a" for k in range(26)) for n in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = {r.doc_id for r in lines.line_classes(df).collect() if r.kept}
+    assert 0 in kept and all(n in kept or {n - 1, n + 1} & kept for n in range(12))
+    assert not any({n, n + 1} <= kept for n in range(12))
+    assert {r.doc_id for r in lines.dedup_lines(df).collect()} == kept
+
+
+def test_one_segment_in_many_lines(spark):
+    """Lines that share a segment are dealt to several tasks and all compared."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        texts = [f"Posted by the user number {n * 7919 % 10**6:06d} today" for n in range(3000)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        got = {x.doc_id: x.n_links for x in lines.line_classes(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    wanted = [sum(brute.distance(texts[n], t) <= 2 for t in texts) - 1 for n in range(0, 3000, 600)]
+    assert [got[n] for n in range(0, 3000, 600)] == wanted and max(wanted) > 0
+
+
 def test_short_lines(spark):
     """Lines of every length against all pairs: an edit for each six characters, two at most."""
     r = random.Random(4)

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thermotrack.llm.common import WORD, components, null_safe, packed, saved, sized, unpacked
+from thermotrack.plans.sided_join import salted
 
 THRESHOLD = 2  # edits between two lines
 EDIT_CHARS = 6  # an edit is allowed for each so many code points of the shorter line, up to THRESHOLD
@@ -133,28 +134,33 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, edit_chars: int = ED
     """Distinct pairs (a, b) of hashes of different lines within threshold edits of each other, and
     within one edit for each full edit_chars code points of the shorter one.
 
-    Keys that only one line has are dropped first, by the smallest and largest line of each key; the
-    lines of the others are then brought together by key. Within a key a pair must agree in its
-    counts of letters up to twice the allowed edits before its distance is computed, and only linked pairs
+    Keys are made once and saved. Those that only one line has are dropped, by the smallest and largest
+    line of each key, and the lines of the others are brought together by key; the rows of a key that
+    many lines share are dealt to several tasks (`salted`). Within a key a pair must agree in its counts
+    of letters up to twice the allowed edits before its distance is computed, and only linked pairs
     leave the join.
     """
-    fuzzy = _lines(docs, doc_id, text).filter(F.col("n") >= edit_chars)
-    fuzzy = with_segment_keys(fuzzy.select("h", "n", "line"), threshold, edit_chars)
-    keys = fuzzy.select("h", F.explode("keys").alias("key")).filter("key is not null")
+    fuzzy = _lines(docs, doc_id, text).filter(F.col("n") >= edit_chars).select("h", "n", "line")
+    keyed = saved(with_segment_keys(fuzzy, threshold, edit_chars).select("h", "n", "keys"))
+    # the outer forms of explode keep Spark from working out the keys once more in a filter of its own
+    keys = keyed.select("h", F.explode_outer("keys").alias("key")).filter("key is not null")
     live = saved(keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
                  .filter("low <> high").select("key"))
-    rows = fuzzy.select("h", "n", "line", F.posexplode("keys").alias("at", "key"))
-    rows = rows.join(sized(live), "key", "left_semi").withColumn("is_index", F.col("at").isin(own_segments(threshold)))
-    rows = rows.groupBy("key", "h", "n", "is_index").agg(F.first("line").alias("line"))
+    rows = keyed.select("h", "n", F.posexplode_outer("keys").alias("at", "key")).filter("key is not null")
+    is_index = F.col("at").isin(own_segments(threshold)).alias("is_index")
+    rows = saved(rows.join(sized(live), "key", "left_semi").select("key", "h", "n", is_index).distinct())
+    named = saved(rows.select("h", "n").distinct())
     folded = F.lower("line")
     bag = F.array(*[(F.length(folded) - F.length(F.replace(folded, F.lit(c)))).cast("int") for c in BAG])
-    rows = saved(rows.withColumn("bag", bag))
-    index = rows.filter("is_index").alias("i")
-    probe = rows.alias("p")
+    texts = fuzzy.join(sized(named), ["h", "n"], "left_semi").groupBy("h", "n").agg(F.first("line").alias("line"))
+    texts = saved(texts.withColumn("bag", bag))
+    probe, index = salted(rows, rows.filter("is_index"), ["key"], "h")
+    index = index.join(texts.hint("merge"), ["h", "n"]).alias("i")
+    probe = probe.join(texts.hint("merge"), ["h", "n"]).alias("p")
     differ = F.aggregate(F.zip_with("i.bag", "p.bag", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     allowed = allowed_edits(F.col("i.n"), threshold, edit_chars)
-    found = index.join(probe, [
-        F.col("i.key") == F.col("p.key"), F.col("i.h") != F.col("p.h"),
+    found = index.hint("merge").join(probe, [
+        F.col("i.key") == F.col("p.key"), F.col("i._salt") == F.col("p._salt"), F.col("i.h") != F.col("p.h"),
         F.col("p.n") - F.col("i.n") <= allowed,
         ~F.col("p.is_index") | (F.col("i.h") < F.col("p.h")),
         differ <= 2 * allowed,
@@ -162,42 +168,74 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, edit_chars: int = ED
     return found.select(F.least("i.h", "p.h").alias("a"), F.greatest("i.h", "p.h").alias("b")).distinct()
 
 
+def lines_to_drop(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """h of the lines that go: each is linked with a line that stays, and no two lines that stay are linked.
+
+    Roots (h, root: first of each component) stay; among the others the smaller hash goes first. A round
+    keeps every line that no undecided line goes before and drops what those are linked with. As hashes
+    are spread at random, some log(lines) rounds suffice, however long the chains of links are.
+    """
+    rank = lambda c: F.struct((F.col(c) != F.col(f"root_{c}")).alias("later"), F.col(c).alias("h"))
+    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
+    ranked = links.join(of("a"), "a").join(of("b"), "b")
+    edges = saved(ranked.select(F.least(rank("a"), rank("b")).getField("h").alias("before"),
+                                F.greatest(rank("a"), rank("b")).getField("h").alias("after")))
+    dropped = None
+    while edges.limit(1).count():
+        free = edges.select("before").distinct().join(
+            edges.select(F.col("after").alias("before")).distinct().hint("merge"), "before", "left_anti")
+        gone = saved(edges.join(free.hint("merge"), "before", "left_semi").select(F.col("after").alias("h")).distinct())
+        dropped = gone if dropped is None else dropped.union(gone)
+        for end in ("before", "after"):
+            edges = edges.join(gone.withColumnRenamed("h", end).hint("merge"), end, "left_anti")
+        edges = saved(edges.select("before", "after"))
+    return dropped if dropped is not None else links.select(F.col("a").alias("h"))
+
+
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, edit_chars: int = EDIT_CHARS,
                  doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each line that has a word: doc_id, text_hash, line_no, class_doc_id, class_line_no,
     root_doc_id, root_line_no, n_links, kept.
 
-    Equal lines are one class, named by its first line (smallest doc_id, null last, then line_no).
-    Classes within threshold edits are linked. Lines of every length are compared; short ones by a
-    relative rule, at most one edit for each full edit_chars code points of the shorter line: with 2
-    edits and 6 code points, 2 edits from 12 code points on, 1 from 6 to 11, none (equality) below.
-    n_links counts the different other lines that a line is linked with. root is the first line that can be
-    reached over links; a line is kept if it is its own root. Lines are cut at \\n alone.
+    Equal lines are one class, named by its first line (smallest doc_id, null last, then, for different
+    texts of one id, the smaller text_hash, then line_no). Classes within threshold edits are linked.
+    Lines of every length are compared; short ones by a relative rule, at most one edit for each full
+    edit_chars code points of the shorter line: with 2 edits and 6 code points, 2 edits from 12 code
+    points on, 1 from 6 to 11, none (equality) below. n_links counts the different other lines that a
+    line is linked with; root is the first line that can be reached over links. A line is kept if it is
+    the first of its class and its class stays: every class that goes is linked with one that stays
+    (`lines_to_drop`), so a chain of links loses only lines beside a kept one.
 
     Null, empty and blank texts have no lines. Rows that repeat both doc_id and text are the same
     lines and are kept or dropped together. An empty table gives an empty one. Lines are known by a
     64 bit hash and their length.
     """
     occurrences = saved(_lines(docs, doc_id, text).select("id", "text_hash", "line_no", "h", "n"))
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "line_no")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "line_no")
     classes = occurrences.groupBy("h", "n").agg(F.min(place).alias("first"), F.count("*").alias("times"))
     links = saved(line_links(docs, threshold, edit_chars, doc_id, text))
     both = links.union(links.select("b", "a"))
-    roots = components(links).join(both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links")), "id")
-    placed = saved(classes.join(roots.withColumnRenamed("id", "h"), "h", "left")
-                   .filter("times > 1 or n_links is not null"))
-    least = placed.filter("root is not null").groupBy("root").agg(F.min("first").alias("root_first"))
-    known = saved(placed.join(least, "root", "left").select(
-        "h", "n", "first", F.coalesce("root_first", "first").alias("root_first"), "n_links"))
-    found = occurrences.join(sized(known, 128), ["h", "n"], "left")
-    own = F.struct(F.col("id").isNull().alias("no_id"), "id", "line_no")
+    named = classes.select("h", "n", "first", "times")
+    of_hash = saved(components(links))
+    degrees = both.groupBy(F.col("a").alias("h")).agg(F.count("*").alias("n_links"))
+    joined = named.join(of_hash.withColumnRenamed("id", "h"), "h", "left").join(degrees, "h", "left")
+    placed = saved(joined.filter("times > 1 or n_links is not null"))
+    least = placed.filter("root is not null").groupBy("root").agg(
+        F.min(F.struct("first", "h")).alias("_least")).select(
+        "root", F.col("_least.first").alias("root_first"), F.col("_least.h").alias("root_h"))
+    first_of = saved(of_hash.join(least.select("root", "root_h"), "root").select("id", F.col("root_h").alias("root")))
+    dropped = lines_to_drop(links, first_of).withColumn("dropped", F.lit(True))
+    known = saved(placed.join(least, "root", "left").join(dropped, "h", "left").select(
+        "h", "n", "first", F.coalesce("root_first", "first").alias("root_first"), "n_links", "dropped"))
+    found = occurrences.join(sized(known, 160), ["h", "n"], "left")
+    own = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "line_no")
     found = found.withColumn("first", F.coalesce("first", own)).withColumn("root_first", F.coalesce("root_first", own))
     return found.select(
         F.col("id").alias("doc_id"), "text_hash", F.col("line_no"),
         F.col("first.id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"),
         F.col("root_first.id").alias("root_doc_id"), F.col("root_first.line_no").alias("root_line_no"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        (F.col("root_first.id").eqNullSafe(F.col("id")) & (F.col("root_first.line_no") == F.col("line_no"))).alias("kept"))
+        (F.col("first").eqNullSafe(own) & F.col("dropped").isNull()).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, edit_chars: int = EDIT_CHARS,
