@@ -14,6 +14,8 @@ from thermotrack.llm.labels import is_held_out, learned_labels
 
 SAMPLE_DOCS = 3000  # of either label at most
 SAMPLE_BYTES = 24 << 20  # of text in all at most
+BLOCK_BYTES = 4 << 20  # of the sample's text that comes to the driver at a time
+BLOCK_FEATURES = 1 << 19  # of the sample that are worked on at a time
 LEAST_DOCS = 4  # a word or prefix counts if so many sampled documents have it
 PREFIXES = (3, 4, 5)  # beginnings of a word that count beside the word itself
 ROUNDS = 160
@@ -114,8 +116,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_D
     The model is fitted on a bounded sample: of the labelled documents that aren't held out, the first
     sample_docs of either label in the order of a hash of the id, and of those, by turns from both
     labels, each one whose text still fits into sample_bytes together. Texts are whole. The sampled
-    labels are weighed to the shares of all learned labels. Documents leave the executors as word
-    hashes; words in fewer than LEAST_DOCS of them are left out. Without a document of either label
+    labels are weighed to the shares of all learned labels. Word hashes of the sample are
+    saved and read by the driver in blocks; words in fewer than LEAST_DOCS documents are left out. Without a document of either label
     the model scores 0; documents of both labels from which nothing can be learned are an error.
     """
     learned = saved(learned_labels(labels, "toxic"))
@@ -139,17 +141,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_D
             if size + r["size"] <= sample_bytes:
                 used.append(r)
                 size += r["size"]
-    wanted = chosen.sparkSession.createDataFrame([(r["id"],) for r in used], "id bigint")
-    tokens = rows.join(F.broadcast(wanted), "id").mapInArrow(_hashed, "label int, words binary, sizes binary").collect()
-    model = _trained(tokens, totals)
+    wanted = chosen.sparkSession.createDataFrame([(r["id"], n) for n, r in enumerate(used)], "id bigint, place int")
+    features = saved(rows.join(F.broadcast(wanted), "id").mapInArrow(
+        _hashed, "place int, label int, words binary, sizes binary").repartition(max(1, size // BLOCK_BYTES), "place"))
+    model = _trained(features, totals)
     if not model.weights:
-        raise ValueError(f"no toxicity model: nothing learned from {len(tokens)} of {len(known)} labelled documents "
+        raise ValueError(f"no toxicity model: nothing learned from {len(used)} of {len(known)} labelled documents "
                          f"({size} bytes of text, at most {sample_bytes})")
     return model
 
 
 def _hashed(batches):
-    """label, features of the different words of each sentence, number of words of each sentence."""
+    """place, label, features of the different words of each sentence, number of words of each sentence."""
     features = _Features()
     for batch in batches:
         words, sizes = [], []
@@ -164,46 +167,76 @@ def _hashed(batches):
                     sentence = set()
             words.append(np.array(codes, np.uint32).tobytes())
             sizes.append(np.array(counts, np.int32).tobytes())
-        yield pa.record_batch([batch.column("label"), pa.array(words, pa.binary()), pa.array(sizes, pa.binary())],
-                              names=["label", "words", "sizes"])
-
-
-def _trained(rows, totals) -> ToxicityModel:
-    """Proximal gradient steps with Adam's scaling on the likelihood of the document labels."""
-    rows = sorted((r["label"], bytes(r["words"]), bytes(r["sizes"])) for r in rows if len(r["sizes"]))
-    labels = np.array([r[0] for r in rows], float)
-    if len(set(labels.tolist())) < 2:
-        return ToxicityModel()
-    n, width = len(rows), 1 + len(PREFIXES)
-    sizes = [np.frombuffer(r[2], np.int32) for r in rows]
-    vocabulary, in_docs = np.unique(
-        np.concatenate([np.unique(np.frombuffer(r[1], np.uint32)) for r in rows]), return_counts=True)
-    vocabulary = vocabulary[(in_docs >= LEAST_DOCS) & (vocabulary != 0)]
-    if not len(vocabulary):
-        return ToxicityModel()
-    owner = np.repeat(np.arange(n), [len(s) for s in sizes]).astype(np.int32)
-    sizes = np.concatenate(sizes)
-    places, sentences, done, sentence = [], [], 0, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes * width)
-    for _, words, _ in rows:  # a document at a time, to keep the driver's memory low
-        words = np.frombuffer(words, np.uint32)
+        yield pa.record_batch([batch.column("place"), batch.column("label"), pa.array(words, pa.binary()),
+                               pa.array(sizes, pa.binary())], names=["place", "label", "words", "sizes"])
+
+
+def _vocabulary(features: DataFrame) -> np.ndarray:
+    """Sorted features that LEAST_DOCS documents have. The documents come a block at a time."""
+    known, counts, waiting, held = np.empty(0, np.uint32), np.empty(0, np.int64), [], 0
+
+    def merged():
+        values, inverse = np.unique(np.concatenate([known, *waiting]), return_inverse=True)
+        weights = np.concatenate([counts, np.ones(held, np.int64)])
+        return values, np.bincount(inverse, weights=weights).astype(np.int64)
+
+    for r in features.select("words").toLocalIterator():
+        waiting.append(np.unique(np.frombuffer(r["words"], np.uint32)))
+        held += len(waiting[-1])
+        if held > BLOCK_FEATURES:
+            known, counts = merged()
+            waiting, held = [], 0
+    known, counts = merged()
+    return known[(counts >= LEAST_DOCS) & (known != 0)]
+
+
+def _blocks(features: DataFrame, vocabulary: np.ndarray):
+    """Documents in the order of their places, in blocks of some BLOCK_FEATURES known features: labels, places of
+    the features in the vocabulary, features of each sentence, sentences of each document."""
+    docs = []
+    for r in features.toLocalIterator():
+        sizes = np.frombuffer(r["sizes"], np.int32)
+        if not len(sizes):
+            continue
+        words = np.frombuffer(r["words"], np.uint32)
         place = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1).astype(np.int32)
         known = vocabulary[place] == words
-        places.append(place[known])
-        sentences.append(sentence[done : done + len(words)][known])
-        done += len(words)
-    place, sentence = np.concatenate(places), np.concatenate(sentences)
-    del places, sentences, rows
+        sentence = np.repeat(np.arange(len(sizes)), sizes * (1 + len(PREFIXES)))[known]
+        counts = np.bincount(sentence, minlength=len(sizes)).astype(np.int32)
+        docs.append((r["place"], r["label"], place[known], counts))
+    docs.sort(key=lambda d: (d[0], d[2].tobytes()), reverse=True)
+    block, held = [], 0
+    while docs:
+        d = docs.pop()
+        block.append(d)
+        held += len(d[2])
+        if held > BLOCK_FEATURES:
+            yield _joined(block)
+            block, held = [], 0
+    if block:
+        yield _joined(block)
+
+
+def _joined(block):
+    return (np.array([d[1] for d in block], float), np.concatenate([d[2] for d in block]),
+            np.concatenate([d[3] for d in block]), np.array([len(d[3]) for d in block]))
+
+
+def _trained(features: DataFrame, totals) -> ToxicityModel:
+    """Proximal gradient steps with Adam's scaling on the likelihood of the document labels. The driver holds
+    4 bytes for each known feature of the sample; the steps go over blocks of documents and sum their gradients."""
+    vocabulary = _vocabulary(features)
+    blocks = list(_blocks(features, vocabulary)) if len(vocabulary) else []
+    labels = np.concatenate([b[0] for b in blocks]) if blocks else np.empty(0)
+    if len(set(labels.tolist())) < 2:
+        return ToxicityModel()
     share = np.array([totals[0], totals[1]], float) / sum(totals.values())
     own = np.array([(labels == y).mean() for y in (0, 1)])
-    importance = (share / own)[labels.astype(int)] / n
+    importance = share / own / len(labels)
     weights, bias = np.zeros(len(vocabulary)), -6.0
     m, v = np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1)
     for t in range(1, ROUNDS + 1):
-        z = np.bincount(sentence, weights=weights[place], minlength=len(sizes)) + bias
-        d = np.bincount(owner, weights=_softplus(z), minlength=n)
-        pull = np.where(labels == 1, -np.exp(-d) / np.maximum(-np.expm1(-d), 1e-12), 1.0) * importance
-        at_sentence = _sigmoid(z) * pull[owner]
-        gradient = np.append(np.bincount(place, weights=at_sentence[sentence], minlength=len(vocabulary)), at_sentence.sum())
+        gradient = sum(block_gradient(b, weights, bias, importance) for b in blocks)
         m = 0.9 * m + 0.1 * gradient
         v = 0.99 * v + 0.01 * gradient**2
         scale = 0.2 / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
@@ -215,6 +248,19 @@ def _trained(rows, totals) -> ToxicityModel:
     return ToxicityModel(float(bias), dict(zip(vocabulary[chosen].tolist(), weights[chosen].tolist(), strict=True)))
 
 
+def block_gradient(block, weights: np.ndarray, bias: float, importance: np.ndarray) -> np.ndarray:
+    """Gradient by each weight and, last, the bias, of the documents' negative log-likelihood under the noisy-or,
+    each document weighed by importance[label]."""
+    labels, place, counts, sentences = block
+    sentence = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    owner = np.repeat(np.arange(len(labels), dtype=np.int32), sentences)
+    z = np.bincount(sentence, weights=weights[place], minlength=len(counts)) + bias
+    d = np.bincount(owner, weights=_softplus(z), minlength=len(labels))
+    pull = np.where(labels == 1, -np.exp(-d) / np.maximum(-np.expm1(-d), 1e-12), 1.0) * importance[labels.astype(int)]
+    at_sentence = _sigmoid(z) * pull[owner]
+    return np.append(np.bincount(place, weights=at_sentence[sentence], minlength=len(weights)), at_sentence.sum())
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """Columns of docs, and toxicity (0 to 1), is_toxic (score >= threshold), toxic_spans.
 
