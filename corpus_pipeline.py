@@ -22,35 +22,47 @@ from thermotrack.llm.toxicity import fit_toxicity, score_toxicity
 ORACLE_SQL = None  # noisy-or training and BPE can't be said in SQL
 
 
-def _like(result: DataFrame, docs: DataFrame) -> DataFrame:
-    return result.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _applied(docs: DataFrame, operator, *seen: str) -> DataFrame:
+    """operator over the text and the columns `seen` of docs; all others are in one struct `_others`
+    that it carries along, so that no name of theirs meets a name of its own."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return operator(docs.select("text", *seen, others.alias("_others")))
+
+
+def _like(result: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of docs again, from the carried struct but for text and the changed ones."""
+    old = {c: F.col("_others").getField(c) for c in docs.columns if c != "text"}
+    new = {"text": F.col("text")} | {c: v for c, v in changed.items() if c in old}
+    return result.select(*[(old | new)[c].alias(c) for c in docs.columns])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects the documents that score as toxic; learned from a bounded sample
     of the labelled documents (`fit_toxicity`)."""
     model = fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return _like(score_toxicity(docs, model).filter("not is_toxic"), docs)
+    scored = _applied(docs, lambda d: score_toxicity(d, model))
+    return _like(scored.filter("not is_toxic"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that an earlier line equals or nearly equals, and sets n_chars anew; documents
+    """Takes out lines that an earlier kept line equals or nearly equals, and sets n_chars anew; documents
     that lose every line go."""
-    result = dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
-        result = result.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(n_chars))
-    return _like(result, docs)
+    result = _applied(docs, dedup_lines, "doc_id")
+    if "n_chars" not in docs.columns:
+        return _like(result, docs)
+    before = F.col("_others").getField("n_chars")
+    after = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return _like(result, docs, n_chars=F.when(F.col("text").isNull(), before).otherwise(after))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
-    return _like(drop_near_duplicates(docs), docs)
+    return _like(_applied(docs, drop_near_duplicates, "doc_id"), docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixes the sources by weight: a document comes as often as the mix takes it, or not at all."""
-    mixed = mix_sources(docs)
+    mixed = _applied(docs, mix_sources, "doc_id", "source")
     times = F.explode(F.sequence(F.lit(1), F.col("repeats")))
     return _like(mixed.filter("repeats > 0").withColumn("repeats", times), docs)
 
