@@ -313,6 +313,44 @@ _BY_CLASS = [
  lcz_primary nulls last) as rn from by_class""",
     ),
 ]
+# Whether a closed buffer meets a square with a hole: no side of the buffer has the square beyond it,
+# and the buffer doesn't lie inside the hole.
+_SIDES = (
+    "sides",
+    f"""select cos((k+0.5)*pi()/16) as nx, sin((k+0.5)*pi()/16) as ny, {RADIUS}e0*cos(pi()/32)*(1+1e-12) as reach
+ from (select unnest(range(32)) as k)""",
+)
+_AROUND = (
+    "around",
+    f"""select p.id, r.poly_id, r.lcz_primary, r.x0 - p.x3857 as a0, r.x1 - p.x3857 as a1,
+ r.y0 - p.y3857 as b0, r.y1 - p.y3857 as b1 from lcz_points p join lcz_rects r on r.part = 0
+ and p.x3857 >= r.x0 - {RADIUS} and p.x3857 <= r.x1 + {RADIUS}
+ and p.y3857 >= r.y0 - {RADIUS} and p.y3857 <= r.y1 + {RADIUS}
+ left join lcz_rects h on h.part = 1 and h.poly_id = r.poly_id
+ and h.x0 < p.x3857 - {RADIUS} and h.x1 > p.x3857 + {RADIUS}
+ and h.y0 < p.y3857 - {RADIUS} and h.y1 > p.y3857 + {RADIUS} where h.poly_id is null""",
+)
+_MEETING = (
+    "meeting",
+    """select id, poly_id, lcz_primary from around where not exists (select 1 from sides
+ where least(nx*a0, nx*a1) + least(ny*b0, ny*b1) > reach)""",
+)
+_MEETING_DISC = (
+    "meeting",
+    f"""select id, poly_id, lcz_primary from around
+ where pow(greatest(a0, 0, -a1), 2) + pow(greatest(b0, 0, -b1), 2) <= {RADIUS}e0*{RADIUS}e0*(1+1e-12)""",
+)
+_BY_CLASS_TOUCHING = [
+    _SIDES,
+    _AROUND,
+    _MEETING,
+    (
+        "by_class",
+        """select m.id, m.lcz_primary, sum(greatest(coalesce(o.lcz_fraction, 0), 0)) as lcz_fraction_sum
+ from meeting m left join overlap o on m.id = o.id and m.poly_id = o.poly_id group by m.id, m.lcz_primary""",
+    ),
+    _BY_CLASS[1],
+]
 _WIDE = ", ".join(
     [
         "max(case when rn = 1 then lcz_primary end) as lcz_primary_max",
@@ -615,6 +653,10 @@ def _statements() -> dict[str, str]:
  from corners""",
         "intersecting_polygons": _with(*_LCZ_32)
         + " select id, poly_id, lcz_primary from overlap where lcz_fraction > 1e-9",
+        "intersecting_polygons_touching": _with(*_raw("lcz_points", "lcz_rects"), _SIDES, _AROUND, _MEETING)
+        + " select * from meeting",
+        "intersecting_polygons_touching_disc": _with(*_raw("lcz_points", "lcz_rects"), _AROUND, _MEETING_DISC)
+        + " select * from meeting",
         "fraction_by_class": _with(*_LCZ_32, *_BY_CLASS)
         + f' select id, lcz_primary, {_r("lcz_fraction_sum")} from by_class',
         "pivot_classes": _with(*_LCZ_32, *_BY_CLASS)
@@ -628,6 +670,7 @@ def _statements() -> dict[str, str]:
         "rank_classes": _with(*_LCZ_32, *_BY_CLASS)
         + f' select id, lcz_primary, cast(rn as int) as rn, {_r("lcz_fraction_sum")} from class_ranks',
         "lcz_fractions": _with(*_LCZ_32, *_BY_CLASS) + " " + _LCZ_ROW,
+        "lcz_fractions_touching": _with(*_LCZ_32, *_BY_CLASS_TOUCHING) + " " + _LCZ_ROW,
         "lcz_fractions_disc": _with(*_LCZ_DISC, *_BY_CLASS) + " " + _LCZ_ROW,
         "transect_profile": _with(*_PROFILE)
         + f""" select id, thermo_name, zone, "timestamp", local_timestamp,

@@ -10,6 +10,7 @@ import thermotrack as tt
 from checks.inputs import lcz_polygons, spark_table
 from checks.oracles import CLEAN_END, CLEAN_START, DIGITS, RADIUS, SPLIT
 from thermotrack.functions.keys import TRACK, track_key
+from thermotrack.operators.landcover import TOUCH
 from thermotrack.plans.checkpoints import checkpointed
 from thermotrack.plans.sided_join import BROADCAST_SETTING
 from thermotrack.sources.tables import replace_table
@@ -237,8 +238,13 @@ def _union_sources(spark, sf):
     return tt.union_sources(_mobile_raw(spark, sf), _meteo_raw(spark, sf))
 
 
-def _intersecting(spark, sf):
-    return tt.intersecting_polygons(_lcz_points(spark, sf), lcz_polygons(spark, sf), RADIUS)
+def _intersecting(quad_segs, touch=TOUCH):
+    def query(spark, sf):
+        return tt.intersecting_polygons(
+            _lcz_points(spark, sf), lcz_polygons(spark, sf), RADIUS, quad_segs, touch
+        )
+
+    return query
 
 
 def _overlap(quad_segs):
@@ -252,7 +258,7 @@ def _rank_classes(spark, sf):
     return tt.rank_classes(tt.fraction_by_class(_overlap(8)(spark, sf)))
 
 
-def _lcz_fractions(quad_segs):
+def _lcz_fractions(quad_segs, touch=TOUCH):
     def query(spark, sf):
         return tt.lcz_fractions(
             _lcz_points(spark, sf),
@@ -260,6 +266,7 @@ def _lcz_fractions(quad_segs):
             ["temperature", "timestamp"],
             RADIUS,
             quad_segs,
+            touch,
         )
 
     return query
@@ -370,7 +377,9 @@ _QUERIES = {
     ),
     "project_points_3857": _project_points,
     "project_rings_3857": _project_rings,
-    "intersecting_polygons": _intersecting,
+    "intersecting_polygons": _intersecting(8),
+    "intersecting_polygons_touching": _intersecting(8, None),
+    "intersecting_polygons_touching_disc": _intersecting(None, None),
     "overlap_fraction": _overlap(8),
     "overlap_fraction_disc": _overlap(None),
     "fraction_by_class": lambda spark, sf: tt.fraction_by_class(_overlap(8)(spark, sf)),
@@ -378,6 +387,7 @@ _QUERIES = {
     "pivot_classes": _pivot_classes,
     "lcz_fractions": _lcz_fractions(8),
     "lcz_fractions_disc": _lcz_fractions(None),
+    "lcz_fractions_touching": _lcz_fractions(8, None),
     "transect_profile": _profile_rows,
     "transect_summary": lambda spark, sf: tt.transect_summary(
         checkpointed(_profile(spark, sf))

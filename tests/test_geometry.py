@@ -249,3 +249,40 @@ def test_leaves_follow_density(spark):
     sizes = triangulation.leaf_tiles(df, extent, 50).groupBy("leaf", "cx", "cy").count()
     assert triangulation.leaf_tiles(df, extent, 50).agg(F.max("leaf")).first()[0] > 8
     assert sizes.agg(F.max("count")).first()[0] <= 50
+
+
+@pytest.mark.parametrize("quad_segs", [8, None])
+def test_polygons_that_only_touch(spark, quad_segs):
+    far = [(-900, -900), (900, -900), (900, 900), (-900, 900)]
+    slanted = 100 * math.cos(math.pi / 32) if quad_segs else 100.0  # a corner on a side of the buffer, or its circle
+    corner = (slanted * math.cos(5.5 * math.pi / 16), slanted * math.sin(5.5 * math.pi / 16))
+    shapes = [
+        (1, 1, [box(100, -50, 300, 50)]),  # by an edge
+        (2, 2, [box(-300, 0, -100, 10)]),  # by a corner of the buffer
+        (3, 3, [box(100.001, -50, 300, 50)]),
+        (4, 4, [far, box(-100, -100, 100, 100)]),  # the buffer fills its hole
+        (5, 5, [far, box(-101, -101, 101, 101)]),  # and lies inside this one
+        (6, 6, [[corner, (500, 600), (400, 700)]]),
+        (7, 7, [[(corner[0] + 0.001, corner[1]), (500, 600), (500, 601)]]),
+        (8, 8, [[(-500, 150), (500, 150), (500, 900), (400, 900), (400, 160), (-400, 160), (-400, 900), (-500, 900)]]),
+        (9, 9, [box(-5, -5, 5, 5)]),
+        (10, 10, [far]),
+        (11, None, [box(-100, -300, 100, -100)]),
+    ]
+    points, layer = centre(spark, [(0, 0), (5000, 0)]), polygons(spark, shapes)
+    pairs = {(r.id, r.poly_id) for r in tt.intersecting_polygons(points, layer, quad_segs=quad_segs, touch=None).collect()}
+    assert pairs == {(0, k) for k in (1, 2, 4, 6, 9, 10, 11)}
+    shares = {r.poly_id: r.lcz_fraction for r in tt.overlap_fraction(points, layer, quad_segs=quad_segs, touch=None).collect()}
+    assert all(shares[k] == pytest.approx(0, abs=1e-12) and shares[k] >= 0 for k in (1, 2, 6, 11))
+    assert shares[4] == pytest.approx(0, abs=1e-9)
+    assert {r.poly_id for r in tt.intersecting_polygons(points, layer, quad_segs=quad_segs).collect()} == {9, 10}
+
+
+def test_touching_polygons_count_for_points_without_others(spark):
+    shapes = [(1, 102, [box(100, -50, 300, 50)]), (2, 5, [box(900, -50, 1050, 50)]), (3, 7, [box(1100, -5, 1200, 5)])]
+    points, layer = centre(spark, [(0, 0), (1000, 0), (5000, 0)]), polygons(spark, shapes)
+    rows = {r["id"]: r for r in tt.lcz_fractions(points, layer, ["temperature"], touch=None).collect()}
+    assert set(rows) == {0, 1}
+    assert (rows[0]["lcz_primary_max"], rows[0]["lcz_primary_max_2"], rows[0]["lcz_102"]) == (102, None, 0.0)
+    assert (rows[1]["lcz_primary_max"], rows[1]["lcz_primary_max_2"]) == (5, 7)
+    assert {r["id"] for r in tt.lcz_fractions(points, layer, ["temperature"]).collect()} == {1}

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+ROUNDING = 1e-12
+
+
 def _cross(ax, ay, bx, by) -> Column:
     return ax * by - ay * bx
 
@@ -30,10 +33,12 @@ def buffer_area(radius: float, quad_segs: int | None) -> float:
 
 
 def with_edge_area(edges: DataFrame, radius: float, quad_segs: int | None) -> DataFrame:
-    """Add `area`. The buffer is the regular polygon with 4 * quad_segs sides that has a vertex on
-    the x axis, or the true disc when quad_segs is None. Edges of no length must be left out.
+    """Add `area`, `met` (whether the edge meets the closed buffer) and `turn` (the angle that it is
+    seen under from the centre). The buffer is the regular polygon with 4 * quad_segs sides that has a
+    vertex on the x axis, or the true disc when quad_segs is None. Edges of no length must be left out.
 
-    For a polygon buffer an edge that crosses its border comes as several rows, one per sector.
+    For a polygon buffer an edge that crosses its border comes as several rows, one per sector; its
+    turn is in one of them.
     """
     px, py, qx, qy = (F.col(c) for c in ("px", "py", "qx", "qy"))
     based = edges.withColumns(
@@ -52,11 +57,47 @@ def with_edge_area(edges: DataFrame, radius: float, quad_segs: int | None) -> Da
         }
     )
     extra = ["_dx", "_dy", "_cross", "_pp", "_qq", "_dd", "_pd", "_turn"]
+    based = based.withColumn("met", _meets(radius, quad_segs))
     if quad_segs is None:
-        return _disc(based, radius).drop(*extra)
+        return _disc(based, radius).withColumn("turn", F.col("_turn")).drop(*extra)
     return _regular_polygon(based, radius, 4 * quad_segs).drop(*extra)
 
 
+def _nearest() -> Column:
+    """Squared distance of the centre to the edge."""
+    t = _between(-F.col("_pd") / F.col("_dd"))
+    return F.col("_pp") + t * (2 * F.col("_pd") + t * F.col("_dd"))
+
+
+def _meets(radius: float, quad_segs: int | None) -> Column:
+    """Whether the edge has a point in the closed buffer, up to rounding. Only an edge between the
+    buffer's inner and outer circle is cut by the buffer's sides.
+    """
+    outer = radius * radius * (1 + ROUNDING)
+    if quad_segs is None:
+        return _nearest() <= outer
+    sides = 4 * quad_segs
+    angles = [(k + 0.5) * 2 * math.pi / sides for k in range(sides)]
+    reach = radius * math.cos(math.pi / sides)
+    normals = F.array(
+        *[F.struct(F.lit(math.cos(a)).alias("x"), F.lit(math.sin(a)).alias("y")) for a in angles]
+    )
+
+    def cut(span, n):
+        room = reach * (1 + ROUNDING) - _dot(n["x"], n["y"], F.col("px"), F.col("py"))
+        rise = _dot(n["x"], n["y"], F.col("_dx"), F.col("_dy"))
+        at = F.try_divide(room, rise)
+        low = F.when(rise < 0, F.greatest(span["low"], at)).otherwise(span["low"])
+        high = F.when(rise > 0, F.least(span["high"], at)).otherwise(span["high"])
+        # beside a side that the edge runs along there is nothing left
+        beside = (rise == 0) & (room < 0)
+        return F.struct(F.when(beside, 2.0).otherwise(low).alias("low"), high.alias("high"))
+
+    whole = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    left = F.aggregate(normals, whole, cut, lambda span: span["low"] <= span["high"])
+    return F.when(_nearest() <= reach * reach, True).when(_nearest() > outer, False).otherwise(left)
+
+
 def _disc(edges: DataFrame, radius: float) -> DataFrame:
     px, py, qx, qy = (F.col(c) for c in ("px", "py", "qx", "qy"))
     r2 = radius * radius
@@ -83,8 +124,7 @@ def _regular_polygon(edges: DataFrame, radius: float, sides: int) -> DataFrame:
     step = 2 * math.pi / sides
     reach = radius * math.cos(step / 2)
     start = F.atan2(F.col("py"), F.col("px"))
-    near_t = _between(-F.col("_pd") / F.col("_dd"))
-    near = F.col("_pp") + near_t * (2 * F.col("_pd") + near_t * F.col("_dd"))
+    near = _nearest()
     inside = (F.col("_pp") <= reach * reach) & (F.col("_qq") <= reach * reach)
     outside = near >= radius * radius
 
@@ -163,4 +203,5 @@ def _regular_polygon(edges: DataFrame, radius: float, sides: int) -> DataFrame:
         .otherwise(F.col("_cross") / 2 * (F.col("_t") - F.col("_s")) * factor)
     )
     used = ["_start", "_end", "_kind", "_low", "_high", "_sector", "_at_low", "_at_high"]
-    return parts.withColumn("area", area).drop(*used, "_s", "_t", "_np", "_nd", "_gu", "_gv")
+    own = F.when((F.col("_kind") != 2) | (F.col("_sector") == F.col("_low")), F.col("_turn"))
+    return parts.withColumns({"area": area, "turn": own}).drop(*used, "_s", "_t", "_np", "_nd", "_gu", "_gv")

@@ -1,5 +1,7 @@
 """Share of each land-cover class in a buffer around each point."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,7 @@ def _clipped_edges(polygons: DataFrame, radius: float) -> DataFrame:
     """
     shaped = polygons if "rings_3857" in polygons.columns else project_rings_3857(polygons)
     side = 2.0 * radius
+    reach = radius * (1 + 2**-10)  # lines that a ring is cut along never touch a buffer
     first_class = ("poly_id", "lcz_primary")
     rings = shaped.select(*first_class, F.posexplode("rings_3857").alias("_nr", "ring")).filter(
         F.size("ring") >= 3
@@ -87,8 +90,8 @@ def _clipped_edges(polygons: DataFrame, radius: float) -> DataFrame:
         pieces = (
             pieces.withColumn("_range", F.struct(*_range(axis)))
             .withColumn(cell, F.explode(F.sequence(*number)))
-            .withColumn("ring", _clipped(axis, F.col(cell) * side - radius, True))
-            .withColumn("ring", _clipped(axis, (F.col(cell) + 1) * side + radius, False))
+            .withColumn("ring", _clipped(axis, F.col(cell) * side - reach, True))
+            .withColumn("ring", _clipped(axis, (F.col(cell) + 1) * side + reach, False))
             .drop("_range")
         )
     ends = F.zip_with(
@@ -130,10 +133,10 @@ def _edge_areas(points: DataFrame, edges: DataFrame, radius: float, quad_segs) -
     if is_small(edges, rows):
         celled = celled.repartition("id")
     joined = join_on_cell(celled, edges, _CELL, "id", rows).filter(
-        (F.col("x3857") + radius > F.col("x_lo"))
-        & (F.col("x3857") - radius < F.col("x_hi"))
-        & (F.col("y3857") + radius > F.col("y_lo"))
-        & (F.col("y3857") - radius < F.col("y_hi"))
+        (F.col("x3857") + radius >= F.col("x_lo"))
+        & (F.col("x3857") - radius <= F.col("x_hi"))
+        & (F.col("y3857") + radius >= F.col("y_lo"))
+        & (F.col("y3857") - radius <= F.col("y_hi"))
     )
     relative = joined.withColumns(
         {
@@ -156,11 +159,12 @@ def overlap_fraction(
     polygons: DataFrame,
     radius: float = RADIUS,
     quad_segs: int | None = QUAD_SEGS,
-    touch: float = TOUCH,
+    touch: float | None = TOUCH,
 ) -> DataFrame:
     """(id, poly_id, lcz_primary, lcz_fraction) for each polygon that covers a part of the buffer
     of a point. A share up to `touch` counts as touching the buffer only and is left out; 0 keeps
-    every polygon with any area in it.
+    every polygon with any area in it, and None every one that has a point in common with the closed
+    buffer, with a share of 0 if it only touches.
     """
     narrow = _projected(points).select("id", "x3857", "y3857")
     areas = _areas(narrow, polygons, radius, quad_segs)
@@ -172,12 +176,21 @@ def _areas(located: DataFrame, polygons: DataFrame, radius: float, quad_segs) ->
     return _edge_areas(located, checkpointed(_clipped_edges(polygons, radius)), radius, quad_segs)
 
 
-def _polygon_shares(areas: DataFrame, keys, radius: float, quad_segs, touch: float) -> DataFrame:
-    whole = buffer_area(radius, quad_segs)
+def _polygon_shares(areas: DataFrame, keys, radius: float, quad_segs, touch: float | None) -> DataFrame:
+    """Shares by polygon. Whether a polygon meets the buffer is told without its area: one of its edges
+    does, or its edges wind around the centre. Holes wind backwards, so the middle of a hole is outside.
+    """
+    grouped = areas.groupBy(*keys, "poly_id", "lcz_primary")
+    share = F.sum("area") / buffer_area(radius, quad_segs)
+    if touch is not None:
+        return grouped.agg(share.alias("lcz_fraction")).filter(F.col("lcz_fraction") > touch)
+    around = F.abs(F.sum("turn")) > math.pi  # 2 pi for each time around
     return (
-        areas.groupBy(*keys, "poly_id", "lcz_primary")
-        .agg((F.sum("area") / whole).alias("lcz_fraction"))
-        .filter(F.col("lcz_fraction") > touch)
+        grouped.agg(
+            F.greatest(share, F.lit(0.0)).alias("lcz_fraction"), (F.max("met") | around).alias("_meets")
+        )
+        .filter("_meets")
+        .drop("_meets")
     )
 
 
@@ -186,9 +199,9 @@ def intersecting_polygons(
     polygons: DataFrame,
     radius: float = RADIUS,
     quad_segs: int | None = QUAD_SEGS,
-    touch: float = TOUCH,
+    touch: float | None = TOUCH,
 ) -> DataFrame:
-    """Pairs of a point and a polygon under its buffer."""
+    """Pairs of a point and a polygon under its buffer; with touch=None also those that only touch."""
     return overlap_fraction(points, polygons, radius, quad_segs, touch).drop("lcz_fraction")
 
 
@@ -228,14 +241,15 @@ def lcz_fractions(
     columns,
     radius: float = RADIUS,
     quad_segs: int | None = QUAD_SEGS,
-    touch: float = TOUCH,
+    touch: float | None = TOUCH,
 ) -> DataFrame:
     """Land cover around each point, with the named columns of the point kept.
 
     points have id and lon, lat (or x3857, y3857); polygons have poly_id, lcz_primary and rings in
     degrees (or rings_3857), shell first. The buffer is drawn in EPSG:3857 with quad_segs segments
     per quarter; None takes the true disc. A polygon whose share is at most `touch` only touches the
-    buffer and is left out; points with no polygon in the buffer are left out. Classes other than
+    buffer and is left out; with touch=None it stays, with a share of 0, and can be the second class or
+    a point's only one. Points with no polygon in the buffer are left out. Classes other than
     the 17, and polygons without a class, count for the first and second class only.
 
     Shares per polygon, sums per class, ranks and the pivot all group by the point and what its join
