@@ -283,6 +283,7 @@ def test_touching_polygons_count_for_points_without_others(spark):
     points, layer = centre(spark, [(0, 0), (1000, 0), (5000, 0)]), polygons(spark, shapes)
     rows = {r["id"]: r for r in tt.lcz_fractions(points, layer, ["temperature"], touch=None).collect()}
     assert set(rows) == {0, 1}
-    assert (rows[0]["lcz_primary_max"], rows[0]["lcz_primary_max_2"], rows[0]["lcz_102"]) == (102, None, 0.0)
+    assert (rows[0]["lcz_primary_max"], rows[0]["lcz_primary_max_2"]) == (102, None)
+    assert rows[0]["lcz_102"] == pytest.approx(0, abs=1e-12)
     assert (rows[1]["lcz_primary_max"], rows[1]["lcz_primary_max_2"]) == (5, 7)
     assert {r["id"] for r in tt.lcz_fractions(points, layer, ["temperature"]).collect()} == {1}
