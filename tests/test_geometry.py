@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import thermotrack as tt
+from thermotrack.functions.delaunay import local_delaunay
 from thermotrack.functions.overlap import buffer_area
 from thermotrack.operators import landcover, triangulation
 from thermotrack.plans import sided_join
@@ -40,12 +41,48 @@ def spots(kind, n):
 @pytest.mark.parametrize("kind", ["random", "grid", "dense"])
 def test_tiles_give_the_same_triangles(spark, kind):
     df = stations(spark, spots(kind, 300))
-    whole = triples(tt.delaunay_triangles(df))
+    whole = triples(tt.delaunay_triangles(df, tile_points=1000))
     tiled = tt.delaunay_triangles(df, tile_points=40)
     assert triples(tiled) == whole
     assert sorted(r[0] for r in tiled.select("id_triangle").collect()) == list(range(1, len(whole) + 1))
 
 
+@pytest.mark.parametrize("kind", ["arc", "circle", "dense"])
+def test_no_tile_over_all(spark, monkeypatch, kind):
+    """The largest tile, halo included, stays small where all stations see each other or lie in one town."""
+    rounds = []
+    whole = triangulation.TileRounds.triangles
+    monkeypatch.setattr(triangulation.TileRounds, "triangles", lambda self: rounds.append(self) or whole(self))
+    turn = {"arc": 1 / 300, "circle": 2.1}.get(kind)
+    n = 160 if turn else 300
+    places = {k: (math.cos(k * turn), math.sin(k * turn)) for k in range(n)} if turn else spots("dense", n)
+    got = triples(tt.delaunay_triangles(stations(spark, places), tile_points=15))
+    local, _ = local_delaunay(list(places), *zip(*places.values(), strict=True))
+    assert got == sorted(tuple(sorted(t)) for t in local)
+    sizes = [m.groupBy("leaf", "tx", "ty").count().agg(F.count("*"), F.max("count")).first() for m in rounds[0].members]
+    assert sizes[0][0] >= 8
+    assert max(most for _, most in sizes) <= 15 + 16 + 8 * math.sqrt(15) + 25
+
+
+def test_default_tiles_follow_the_number_of_stations(spark, monkeypatch):
+    rounds = []
+    whole = triangulation.TileRounds.triangles
+    monkeypatch.setattr(triangulation.TileRounds, "triangles", lambda self: rounds.append(self) or whole(self))
+    tt.delaunay_triangles(stations(spark, spots("random", 100)))
+    assert rounds[0].members[0].select("leaf", "tx", "ty").distinct().count() >= 8
+
+
+def test_stations_in_line_and_alone(spark):
+    """Tiles of one station, and tiles whose stations lie in line."""
+    rng = random.Random(2)
+    cross = {k: (k - 20.0, 0.0) if k < 40 else (0.5, k - 60.25) for k in range(80)}
+    far = {k: (10.0 ** rng.randrange(6) * rng.random(), 10.0 ** rng.randrange(6) * rng.random()) for k in range(60)}
+    for places, tile in ((cross, 4), (far, 1)):
+        local, _ = local_delaunay(list(places), *zip(*places.values(), strict=True))
+        got = triples(tt.delaunay_triangles(stations(spark, places), tile_points=tile))
+        assert got == sorted(tuple(sorted(t)) for t in local)
+
+
 def test_square_grid_is_covered_once(spark):
     triangles = tt.delaunay_triangles(stations(spark, spots("grid", 100)))
     area = sum(

@@ -13,7 +13,7 @@ def _cross(o, p, q):
     return (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
 
 
-def _orientation(p, q, r) -> int:
+def orientation(p, q, r) -> int:
     left = (q[0] - p[0]) * (r[1] - p[1])
     right = (q[1] - p[1]) * (r[0] - p[0])
     value = left - right
@@ -40,7 +40,7 @@ def _lifted(a, b, c, d):
     return sum(lift * minor for lift, minor in zip(lifts, minors, strict=True)), size
 
 
-def _in_circle(points, a, b, c, d) -> bool:
+def in_circle(points, a, b, c, d) -> bool:
     """Is d inside the circle of the counter-clockwise triangle abc?
 
     Cocircular points are decided as if the point with the lowest id were lifted a little: the
@@ -55,7 +55,7 @@ def _in_circle(points, a, b, c, d) -> bool:
     lowest = min(a, b, c, d)
     if lowest == d:
         return False
-    return _orientation(*[points[d if i == lowest else i] for i in (a, b, c)]) > 0
+    return orientation(*[points[d if i == lowest else i] for i in (a, b, c)]) > 0
 
 
 class _Mesh:
@@ -70,11 +70,11 @@ class _Mesh:
 
     def conflicts(self, a, b, c, p) -> bool:
         if None not in (a, b, c):
-            return _in_circle(self.points, a, b, c, p)
+            return in_circle(self.points, a, b, c, p)
         while c is not None:
             a, b, c = b, c, a
         u, v, q = self.points[a], self.points[b], self.points[p]
-        side = _orientation(u, v, q)
+        side = orientation(u, v, q)
         if side:
             return side > 0
         return min(u, v) < q < max(u, v)  # on the hull edge itself
@@ -87,9 +87,9 @@ class _Mesh:
             if c is None:
                 return a, b
             target = self.points[p]
-            if _orientation(self.points[b], self.points[c], target) < 0:
+            if orientation(self.points[b], self.points[c], target) < 0:
                 a, b = c, b
-            elif _orientation(self.points[c], self.points[a], target) < 0:
+            elif orientation(self.points[c], self.points[a], target) < 0:
                 a, b = a, c
             else:
                 return a, b
@@ -121,13 +121,17 @@ class _Mesh:
         return next((u, v) for u, v in border if u is not None and v is not None)
 
 
-def local_delaunay(ids, xs, ys):
-    """(triangles as id triples, ids on the hull); no triangles when all points are collinear."""
+def local_delaunay(ids, xs, ys, with_edges: bool = False):
+    """(triangles as id triples, ids on the hull, or with_edges its edges (a, b) with the outside to the
+    right); no triangles when all points are collinear, and then the edges run both ways along the line.
+    """
     points = dict(zip(ids, zip(xs, ys, strict=True), strict=True))
     order = _curve_order(points)
     third = next((k for k in range(2, len(order)) if _turn(points, order, k)), None)
     if third is None:
-        return [], list(ids)
+        line = sorted(points, key=points.get)
+        pairs = list(zip(line, line[1:], strict=False))
+        return [], pairs + [(b, a) for a, b in pairs] if with_edges else list(ids)
     a, b, c = order[0], order[1], order[third]
     if _turn(points, order, third) < 0:
         a, b = b, a
@@ -142,12 +146,12 @@ def local_delaunay(ids, xs, ys):
     triangles = [
         (u, v, w) for (u, v), w in mesh.apex.items() if None not in (u, v, w) and u < v and u < w
     ]
-    hull = {u for (u, v), w in mesh.apex.items() if w is None for u in (u, v)}
-    return triangles, list(hull)
+    edges = [(v, u) for (u, v), w in mesh.apex.items() if w is None and None not in (u, v)]
+    return triangles, edges if with_edges else list({u for e in edges for u in e})
 
 
 def _turn(points, order, k) -> int:
-    return _orientation(points[order[0]], points[order[1]], points[order[k]])
+    return orientation(points[order[0]], points[order[1]], points[order[k]])
 
 
 def _curve_order(points):
