@@ -79,7 +79,7 @@ def _thresholds(sizes: DataFrame, sources: DataFrame) -> DataFrame:
         "budget", F.col("target") - F.col("full") * F.col("source_size")
     ).withColumn("prefix", F.lit(0).cast("bigint"))
     for fixed in range(0, HASH_BITS, LEVEL_BITS):
-        state = _refined(sizes, state, fixed)
+        state = saved(_refined(sizes, state, fixed))  # a row for each source; keeps the plans short
     # what remains of the budget lies within the words of the last hash
     return state.select("source", "source_size", "target", "full", F.col("prefix").alias("threshold"),
                         (2 * F.col("budget") >= F.col("words")).alias("with_last"))
