@@ -201,6 +201,47 @@ def test_bpe_joins():
         assert own.join(own.tree(piece[:cut]), own.tree(piece[cut:])) == library.encode(text).ids
 
 
+def test_bpe_of_texts_cut_anywhere():
+    """Halves of any text join to its ids: words, runs without a cut, white space, special tokens at the cut."""
+    own, library = bpe.ByteBpe(registry.vocabulary()), Tokenizer.from_file(registry.vocabulary())
+    special = next(iter(own.special_id))
+    r = random.Random(8)
+    parts = ["the ", "ing", "'s", "'", "ll", " ", "  ", "\n", "\t", "é", "日本", "123", "7", "...", "<|", "|>", special, special[:5],
+             special[5:], "x" * 90, " " * 40, "a b\n\n", "😀", "!?"]
+    cut = 0
+    for n in range(400):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(1, 60)))
+        if n % 20 == 0:
+            text += r.choice(["ab", " ", "é", "1"]) * 3000 + text
+        want = library.encode(text, add_special_tokens=False).ids
+        at = r.randrange(len(text) + 1)
+        left, right = text[:at], text[at:]
+        got = own.concatenated(left, own.encode(left), right, own.encode(right))
+        assert got.tolist() == want
+        cut += left != "" and right != "" and own.encode(left).tolist() + own.encode(right).tolist() != want
+    assert cut > 100  # joins that had something to mend
+
+
+def test_long_texts_are_joined(spark, monkeypatch):
+    """Every text over the length of a part goes through the tree, and gives the library's ids."""
+    library = Tokenizer.from_file(registry.vocabulary())
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = bpe.decode(bpe.encode(docs, registry.vocabulary(), part_chars=300), registry.vocabulary()).collect()
+    assert sum(len(r.text or "") > 300 for r in got) > 50
+    for r in got:
+        assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids and r.decoded == (r.text or "")
+    own, joins = bpe.ByteBpe(registry.vocabulary()), []
+    whole = own.concatenated
+    monkeypatch.setattr(own, "concatenated", lambda *a: joins.append(a) or whole(*a))
+    text = max((r.text or "" for r in got), key=len)
+    level = [(text[i : i + 500], own.encode(text[i : i + 500])) for i in range(0, len(text), 500)]
+    while len(level) > 1:
+        level = [(a[0] + b[0], own.concatenated(*a, *b)) if b else a
+                 for a, b in zip(level[::2], [*level[1::2], None], strict=False)]
+    assert level[0][1].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(joins) == -(-len(text) // 500) - 1 > 10
+
+
 def test_neighbours(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]),

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from thermotrack.llm.common import packed, saved, unpacked
 from thermotrack.llm.hashing import slices
 
-PART_CHARS = 1 << 15  # longer texts are dealt out in parts
+PART_CHARS = 1 << 15  # longer texts are cut, encoded in parallel and joined again
+WINDOW_CHARS = 1 << 6  # on either side of a join at first
 RUN_CHARS = 1 << 10  # longer runs without a safe cut are split and joined again
 LEAF_BYTES = 1 << 8
 DECODED_ROWS = 256
@@ -42,21 +43,101 @@ class ByteBpe:
             self.bytes_of[i] = token
         for token, i in special.items():
             self.bytes_of[i] = token.encode()
+        self.length_of = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.tokens = pa.array(self.bytes_of, pa.binary())
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.special_id = special
+        self.special_chars = max(map(len, special), default=0)
         self.long_run = re.compile(rf"\s*\S{{{RUN_CHARS},}}|\s{{{RUN_CHARS},}}\S*")
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text. Long runs are taken out, as a cut before white space is exact."""
-        out: list[int] = []
+        out = []
         for part, is_run in self.parts(text):
             if is_run:
                 for piece in self.pieces(part):
-                    out += piece if isinstance(piece, list) else self.tree(piece)
+                    out.append(np.array(piece if isinstance(piece, list) else self.tree(piece), np.uint32))
             else:
-                out += self.encoding.encode(part, allowed_special="all")
+                out.append(self.encoding.encode_to_numpy(part, allowed_special="all"))
+        return out[0] if len(out) == 1 else np.concatenate([np.empty(0, np.uint32), *out])
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """(begin, end) of the pieces that a text is split into, special tokens among them."""
+        out, at = [], 0
+        for match in (*self.special.finditer(text), None) if self.special else (None,):
+            end = match.start() if match else len(text)
+            out += [(at + m.start(), at + m.end()) for m in self.pattern.finditer(text[at:end])]
+            if match:
+                out.append(match.span())
+                at = match.end()
         return out
 
+    def settled(self, begin: int, end: int, text: str, goes_on: bool = False) -> list[int]:
+        """Starts of the pieces of text[begin:end] that text after the end can't change: all but the last
+        one before anything that could be the beginning of a special token. begin is one of them. At the
+        end of a text that doesn't go on its end counts as well."""
+        starts = [begin + a for a, _ in self.spans(text[begin:end])]
+        if end == len(text) and not goes_on:
+            return [*starts, end]
+        known = end - self.special_chars
+        return starts[: max(0, sum(a <= known for a in starts) - 1)]
+
+    def concatenated(self, left: str, left_ids: np.ndarray, right: str, right_ids: np.ndarray) -> np.ndarray:
+        """Ids of left + right from the ids of each, which may have been cut anywhere.
+
+        A window around the cut is split into pieces anew and grows on the left until it begins where
+        left's own split has a piece that right can't change, and on the right until a piece of it
+        begins where one of right's own split does: from there on both splits are the same. Only the
+        pieces in between are encoded; one that spans the cut alone joins the ids of its halves.
+        """
+        if not left or not right:
+            return left_ids if left else right_ids
+        both, cut, size = left + right, len(left), WINDOW_CHARS
+        while True:
+            first = self._anchor(left, max(0, cut - size - self.special_chars))
+            own = self.settled(first, cut, left, goes_on=True)
+            if own or first == 0:
+                break
+            size *= 2
+        begin = own[-1] if own else 0
+        while True:
+            until = min(len(right), size)
+            ours = self.settled(begin, cut + until, both)
+            theirs = {cut + a for a in self.settled(0, until, right)}
+            meet = next((a for a in ours if a >= cut and a in theirs), None)
+            if meet is not None:
+                break
+            size *= 2
+        head = left_ids[: _ids_before(self.length_of, left_ids, len(left[:begin].encode("utf-8", "replace")))]
+        tail = right_ids[_ids_before(self.length_of, right_ids, len(right[: meet - cut].encode("utf-8", "replace"))) :]
+        middle = []
+        for a, b in self.spans(both[begin:meet]):
+            piece = both[begin + a : begin + b]
+            if piece in self.special_id:
+                middle.append([self.special_id[piece]])
+            elif begin + a < cut < begin + b and len(piece) > RUN_CHARS and self.is_one(both[begin:cut], both[cut:meet]):
+                middle.append(self.join(left_ids[len(head) :].tolist(), right_ids[: len(right_ids) - len(tail)].tolist()))
+            else:
+                middle.append(self.tree(piece.encode("utf-8", "replace")))
+        return np.concatenate([head, *[np.array(m, np.uint32) for m in middle], tail])
+
+    def is_one(self, *stretches: str) -> bool:
+        """Whether each stretch is a single piece."""
+        return all(len(self.spans(s)) == 1 for s in stretches)
+
+    def _anchor(self, text: str, wanted: int) -> int:
+        """The last place up to wanted where any split of text begins a piece: before white space that
+        follows other characters, outside of special tokens; or its beginning."""
+        while wanted > 0:
+            low = max(0, wanted - WINDOW_CHARS)
+            places = [m.start() for m in _CUT.finditer(text, low, wanted)]
+            for at in reversed(places):
+                around = text[max(0, at - self.special_chars) : at + self.special_chars]
+                if not (self.special and self.special.search(around)):
+                    return at
+            wanted = low
+        return 0
+
     def parts(self, text: str):
         """(part, whether it is a long run): cuts lie between a character and white space after it."""
         at = 0
@@ -103,8 +184,20 @@ class ByteBpe:
                 return left[: max(0, len(left) - size)] + window + right[size:]
             size *= 2
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: pa.ListArray) -> list[str]:
+        """The texts of lists of ids: the bytes of all tokens lie one after the other in one buffer."""
+        flat = self.tokens.take(ids.flatten())
+        if not len(flat):
+            return [""] * len(ids)
+        data = flat.buffers()[2].to_pybytes() if flat.buffers()[2] else b""
+        begins = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
+        ends = begins[np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)]))]
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _ids_before(length_of: np.ndarray, ids: np.ndarray, size: int) -> int:
+    """Number of ids whose tokens are the first `size` bytes."""
+    return int(np.searchsorted(np.cumsum(length_of[ids]), size, side="right")) if size else 0
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -114,15 +207,17 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+_CUT = re.compile(r"(?<=\S)(?=\s)")
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
     """Columns of docs, and ids array<int>: each whole text in the ids of the vocabulary file.
 
-    Texts up to part_chars characters are encoded where they are. Longer ones are cut before white
-    space that follows other characters, where a cut changes nothing, and stretches without such a
-    cut are halved into pieces; the parts are encoded in parallel and joined in their order, pieces
-    by `ByteBpe.join`. Strings of special tokens become those tokens, as in the library. A null text
-    is an empty one and has no ids; repeated rows stay; an empty table gives an empty one. The file
-    is read on the executors, so path must be there on each of them.
+    Texts up to part_chars characters are encoded where they are. Longer ones are cut every part_chars
+    characters, whatever is there; the parts are encoded in parallel and joined in pairs, level by
+    level, by `ByteBpe.concatenated`. Strings of special tokens become those tokens, as in the library.
+    A null text is an empty one and has no ids; repeated rows stay; an empty table gives an empty one.
+    The file is read on the executors, so path must be there on each of them.
     """
     whole = packed(docs, text=F.coalesce(F.col(text), F.lit("")))
     is_long = F.length("text") > part_chars
@@ -137,93 +232,50 @@ def encode(docs: DataFrame, path: str, text: str = "text", part_chars: int = PAR
                                        _lists([bpe.encode(t) for t in texts[begin:end]])], names=["row", "ids"])
 
     def parts(batches):
-        bpe = None
         for batch in batches:
-            bpe = bpe or ByteBpe(path)
             for i, (key, t) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True)):
-                found = list(dealt_parts(bpe, t, part_chars))
+                found = [t[begin : begin + part_chars] for begin in range(0, len(t), part_chars)]
                 rows = batch.column("row").slice(i, 1).take(pa.array([0] + [None] * (len(found) - 1), pa.int32()))
-                yield pa.record_batch(
-                    [rows, pa.array([key] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()),
-                     pa.array([p[1] for p in found], pa.int32()), pa.array([p[0] for p in found], pa.binary())],
-                    names=["row", "key", "number", "piece", "part"])
+                yield pa.record_batch([rows, pa.array([key] * len(found), pa.int64()),
+                                       pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())],
+                                      names=["row", "key", "number", "part"])
 
     def part_ids(batches):
         bpe = None
         for batch in batches:
             bpe = bpe or ByteBpe(path)
-            ids = [bpe.tree(part) if piece >= 0 else bpe.encode(part.decode("utf-8", "replace"))
-                   for part, piece in zip(batch.column("part").to_pylist(), batch.column("piece").to_pylist(), strict=True)]
-            yield pa.record_batch([*[batch.column(c) for c in ("row", "key", "number", "piece")], _lists(ids)],
-                                  names=["row", "key", "number", "piece", "ids"])
+            ids = [bpe.encode(part) for part in batch.column("part").to_pylist()]
+            yield pa.record_batch([*[batch.column(c) for c in ("row", "key", "number", "part")], _lists(ids)],
+                                  names=["row", "key", "number", "part", "ids"])
 
-    vocabularies = []  # of a task, read when a text needs it
+    vocabularies = []  # of a task
 
     def joined(table: pa.Table) -> pa.Table:
+        if not vocabularies:
+            vocabularies.append(ByteBpe(path))
+        bpe = vocabularies[0]
         table = table.take(pc.sort_indices(table, [("number", "ascending")]))
-        groups, last = [], None
-        for ids, piece in zip(table.column("ids").to_pylist(), table.column("piece").to_pylist(), strict=True):
-            if piece >= 0 and piece == last:
-                groups[-1].append(ids)
-            else:
-                groups.append([ids])
-            last = piece
-        out = []
-        for level in groups:  # neighbours are joined in pairs, level by level
-            while len(level) > 1:
-                if not vocabularies:
-                    vocabularies.append(ByteBpe(path))
-                bpe = vocabularies[0]
-                level = [bpe.join(*level[i : i + 2]) if i + 1 < len(level) else level[i]
-                         for i in range(0, len(level), 2)]
-            out += level[0]
-        return pa.table({"row": table.column("row").slice(0, 1).combine_chunks(), "ids": _lists([out])})
+        ids = [i.values.to_numpy(zero_copy_only=False).astype(np.uint32) for i in table.column("ids")]
+        level = list(zip(table.column("part").to_pylist(), ids, strict=True))
+        while len(level) > 1:
+            level = [(a[0] + b[0], bpe.concatenated(*a, *b)) if b else a
+                     for a, b in zip(level[::2], [*level[1::2], None], strict=False)]
+        return pa.table({"row": table.column("row").slice(0, 1).combine_chunks(), "ids": _lists([level[0][1]])})
 
     encoded = whole.filter(~is_long).mapInArrow(short, f"row {kind}, ids array<int>")
     long = saved(
         whole.filter(is_long).withColumn("key", F.monotonically_increasing_id())
-        .mapInArrow(parts, f"row {kind}, key bigint, number int, piece int, part binary"))
+        .mapInArrow(parts, f"row {kind}, key bigint, number int, part string"))
     rejoined = (
         long.repartition("key", "number")
-        .mapInArrow(part_ids, f"row {kind}, key bigint, number int, piece int, ids array<int>")
+        .mapInArrow(part_ids, f"row {kind}, key bigint, number int, part string, ids array<int>")
         .groupBy("key").applyInArrow(joined, f"row {kind}, ids array<int>"))
     return unpacked(encoded.unionByName(rejoined), ids=F.col("ids"))
 
 
-def dealt_parts(bpe: ByteBpe, text: str, part_chars: int):
-    """(bytes, number of the piece they are a stretch of, or -1 for a part that stands alone)."""
-    number = 0
-    for part, is_run in bpe.parts(text):
-        if not is_run:
-            for begin, end in _safe_cuts(part, part_chars):
-                yield part[begin:end].encode("utf-8", "replace"), -1
-            continue
-        for piece in bpe.pieces(part):
-            if isinstance(piece, list):
-                yield b"".join(bpe.bytes_of[i] for i in piece), -1
-                continue
-            number += 1
-            for begin in range(0, len(piece), part_chars):
-                yield piece[begin : begin + part_chars], number
-
-
-_CUT = re.compile(r"(?<=\S)(?=\s)")
-
-
-def _safe_cuts(part: str, most: int):
-    begin = 0
-    while len(part) - begin > most:
-        match = _CUT.search(part, begin + most)
-        if match is None:
-            break
-        yield begin, match.start()
-        begin = match.start()
-    yield begin, len(part)
-
-
-def _lists(rows: list[list[int]]) -> pa.Array:
+def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    flat = np.fromiter((i for row in rows for i in row), np.int32, int(ends[-1]))
+    flat = np.concatenate([np.empty(0, np.uint32), *rows]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
@@ -235,7 +287,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", output: str = "decod
             rows = batch.column("ids")
             for begin in range(0, len(rows), DECODED_ROWS):
                 part = rows.slice(begin, DECODED_ROWS)
-                texts = [bpe.decode(ids or ()) for ids in part.to_pylist()]
+                texts = bpe.decode(part)
                 yield pa.record_batch([batch.column("row").slice(begin, DECODED_ROWS), pa.array(texts, pa.string())],
                                       names=["row", output])
 
