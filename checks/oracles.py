@@ -716,6 +716,14 @@ def _statements() -> dict[str, str]:
  on p.thermo_name = hi_temperature.thermo_name and p.pos <= hi_temperature.pos""",
         "replace_table": _with(*_REFERENCE)
         + f' select id, {TRACK}, "timestamp", unique_id_track, {cleaned} from reference',
+        "replace_table_from_itself": _with(
+            *_REFERENCE,
+            ("moved", "select * replace (temperature + id % 2 as temperature) from reference"),
+        )
+        + f' select id, {TRACK}, "timestamp", unique_id_track, {cleaned} from moved',
+        "drop_table": _with(*_METEO)
+        + """ select count(distinct cast("timestamp" as date)) as days,
+ count(distinct cast("timestamp" as date)) as saved_days, true as named, false as left_over from meteo""",
         "select_thermo": _with(*_MOBILE)
         + f""" select id, "timestamp", {_r("temperature", "humidity")} from mobile
  where thermo_name = 'Thermo 1'""",

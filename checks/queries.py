@@ -13,7 +13,7 @@ from thermotrack.functions.keys import TRACK, track_key
 from thermotrack.operators.landcover import TOUCH
 from thermotrack.plans.checkpoints import checkpointed
 from thermotrack.plans.sided_join import BROADCAST_SETTING
-from thermotrack.sources.tables import replace_table
+from thermotrack.sources.tables import drop_table, index_table_name, replace_table
 
 PER_DEGREE = 111319.49079327358  # EPSG:3857 units per degree on the equator
 
@@ -332,6 +332,28 @@ def _round_trip(spark, sf):
     return replace_table(_reference(spark, sf), name)
 
 
+def _replaced_from_itself(spark, sf):
+    """A cleaned table replaced by a result that reads it."""
+    name = f"thermotrack_sink_{uuid.uuid4().hex}"
+    table = replace_table(_reference(spark, sf), name)
+    warmer = table.withColumn("temperature", F.col("temperature") + 1)
+    return replace_table(table.filter("id % 2 = 0").unionByName(warmer.filter("id % 2 = 1")), name)
+
+
+def _dropped(spark, sf):
+    """The index under its default name, and whether the name is gone after the drop."""
+    name = index_table_name(f"thermotrack_{uuid.uuid4().hex}")
+    saved = replace_table(tt.biometeo_index(_meteo(spark, sf)), name)
+    days = saved.agg(F.count("*").alias("days")).first()["days"]
+    drop_table(spark, name)
+    return _meteo(spark, sf).agg(
+        F.count_distinct(F.to_date("timestamp")).alias("days"),
+        F.lit(days).cast("bigint").alias("saved_days"),
+        F.lit(name.endswith("_ibm")).alias("named"),
+        F.lit(spark.catalog.tableExists(name)).alias("left_over"),
+    )
+
+
 def _select_thermo(spark, sf):
     chosen = tt.select_thermo(_mobile(spark, sf), "Thermo 1")
     return chosen.select("id", "timestamp", "temperature", "humidity")
@@ -398,6 +420,8 @@ _QUERIES = {
     "fill_linear_raw": _filled_raw,
     "select_thermo": _select_thermo,
     "replace_table": _round_trip,
+    "replace_table_from_itself": _replaced_from_itself,
+    "drop_table": _dropped,
 }
 _QUERIES |= {
     f"{name}_shuffled": _far(_QUERIES[name])
