@@ -324,3 +324,30 @@ def test_touching_polygons_count_for_points_without_others(spark):
     assert rows[0]["lcz_102"] == pytest.approx(0, abs=1e-12)
     assert (rows[1]["lcz_primary_max"], rows[1]["lcz_primary_max_2"]) == (5, 7)
     assert {r["id"] for r in tt.lcz_fractions(points, layer, ["temperature"]).collect()} == {1}
+
+
+@pytest.mark.parametrize("quad_segs", [8, None])
+def test_large_ring_is_cut_in_halves(spark, quad_segs):
+    """A ring of 10**5 corners, a coast with bays: no row keeps more than its cell's share of it."""
+    n, size = 100_000, 20_000.0
+    ring = [
+        (size * (1 + 0.2 * math.sin(40 * a)) * math.cos(a), size * (1 + 0.2 * math.sin(40 * a)) * math.sin(a))
+        for a in (2 * math.pi * k / n for k in range(n))
+    ]
+    layer = polygons(spark, [(1, 3, [ring, box(-500, -500, 500, 500)])])
+    turned = layer.select("poly_id", "lcz_primary", F.explode("rings_3857").alias("ring"))
+    pieces = landcover._cell_pieces(turned, ("poly_id", "lcz_primary"), 200.0, 100, 100.1)
+    pieces = pieces.withColumn("task", F.spark_partition_id())
+    most, tasks = pieces.agg(F.max(F.size("ring")), F.count_distinct("task")).first()
+    assert most < 2000 and tasks > 1
+    a = 0.7853
+    at = size * (1 + 0.2 * math.sin(40 * a))
+    points = centre(spark, [(1000, 1000), (0, 0), (at * math.cos(a), at * math.sin(a)), (40_000, 0)])
+    got = {r.id: r.lcz_fraction for r in tt.overlap_fraction(points, layer, quad_segs=quad_segs).collect()}
+    assert set(got) == {0, 2} and got[0] == pytest.approx(1.0)
+    x, y = at * math.cos(a), at * math.sin(a)
+    near = [p for p in ring if math.hypot(p[0] - x, p[1] - y) < 1000]
+    grid = [(i * 4.0 + 2, j * 4.0 + 2) for i in range(-25, 25) for j in range(-25, 25)]
+    inner = [(u, v) for u, v in grid if in_buffer(u, v, quad_segs)]
+    hits = sum(inside([*near, (0.0, 0.0)], x + u, y + v) for u, v in inner)
+    assert got[2] == pytest.approx(hits / len(inner), abs=0.02)

@@ -23,6 +23,7 @@ RADIUS = 100
 QUAD_SEGS = 8  # a buffer drawn with 8 segments per quarter circle
 TOUCH = 1e-9  # a share up to this is a polygon that only touches the buffer
 RANK_DIGITS = 9
+STEPS_PER_SHUFFLE = 4
 _CELL = ("cell_x", "cell_y")
 
 
@@ -46,17 +47,82 @@ def _projected(points: DataFrame) -> DataFrame:
     return points if "x3857" in points.columns else project_points_3857(points)
 
 
+def _along(ring: str, axis: str) -> Column:
+    return F.transform(ring, lambda p: p[axis])
+
+
 def _range(axis: str) -> list[Column]:
-    values = F.transform("ring", lambda p: p[axis])
+    values = _along("ring", axis)
     return [F.array_min(values).alias("lo"), F.array_max(values).alias("hi")]
 
 
-def _clipped(axis: str, bound: Column, keep_above: bool) -> Column:
-    """The ring cut at the bound, or as it is where its extent lies on the right side already."""
-    reach = F.col("_range.lo") >= bound if keep_above else F.col("_range.hi") <= bound
-    return F.when(reach, F.col("ring")).otherwise(
-        clip_ring(F.col("ring"), axis, bound, keep_above)
+def _cells_of(ring: str, axis: str, side: float, radius: float) -> list[Column]:
+    """First and last cell whose points can have something of the ring in their buffer."""
+    values = _along(ring, axis)
+    return [
+        F.floor((f(values) + shift) / side).cast("bigint")
+        for f, shift in ((F.array_min, -radius), (F.array_max, radius))
+    ]
+
+
+def _cell_pieces(rings: DataFrame, kept, side: float, radius: float, reach: float) -> DataFrame:
+    """(kept, cell_x, cell_y, ring): rings cut to each cell widened by reach.
+
+    A ring is cut in two across the longer side of its range of cells, its parts again, and so on:
+    every step halves what a row holds, and rows are dealt out anew before the first steps and after
+    every few, so that a large ring is neither copied once per column of cells nor left to one task.
+    """
+    tasks = int(rings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ("x_lo", "x_hi", "y_lo", "y_hi")
+    cells = dict(zip(ranges, _cells_of("ring", "x", side, radius) + _cells_of("ring", "y", side, radius), strict=True))
+    pieces = rings.withColumns(cells).select(*kept, *ranges, "ring")
+    widest = pieces.agg(*[F.max(F.col(f"{a}_hi") - F.col(f"{a}_lo")).alias(a) for a in "xy"]).first()
+    steps = sum((widest[a] or 0).bit_length() for a in "xy")
+    # Cutting is heavy for its few bytes of input, so the number of tasks is not left to AQE.
+    pieces = pieces.repartition(tasks, *kept[:1])
+    for step in range(steps):
+        if step and step % STEPS_PER_SHUFFLE == 0:
+            pieces = pieces.repartition(tasks, *kept[:1], "x_lo", "y_lo")
+        pieces = _halved(pieces, kept, ranges, side, radius, reach)
+    return pieces.select(*kept, F.col("x_lo").alias("cell_x"), F.col("y_lo").alias("cell_y"), "ring")
+
+
+def _halved(pieces: DataFrame, kept, ranges, side: float, radius: float, reach: float) -> DataFrame:
+    """Both halves of every piece of more than one cell, without those that reach no cell of theirs."""
+
+    def half(axis, above):
+        """The cells from the middle on (above) or before it, and where the ring is cut."""
+        middle = F.shiftright(F.col(f"{axis}_lo") + F.col(f"{axis}_hi"), 1)
+        own = {c: F.col(c) for c in ranges}
+        own[f"{axis}_lo" if above else f"{axis}_hi"] = middle + 1 if above else middle
+        return F.struct(
+            *[v.alias(c) for c, v in own.items()],
+            F.lit(f"{axis}{int(above)}").alias("cut"),
+            ((middle + 1) * side - reach if above else (middle + 1) * side + reach).alias("bound"),
+        )
+
+    spans = [F.col(f"{a}_hi") - F.col(f"{a}_lo") for a in "xy"]
+    whole = F.struct(*ranges, F.lit("").alias("cut"), F.lit(0.0).alias("bound"))
+    halves = (
+        F.when((spans[0] > 0) & (spans[0] >= spans[1]), F.array(half("x", False), half("x", True)))
+        .when(spans[1] > 0, F.array(half("y", False), half("y", True)))
+        .otherwise(F.array(whole))
     )
+    cut = pieces.withColumn("_h", F.explode(halves)).select(*kept, "_h.*", "ring")
+    ring = F.col("ring")
+    for axis in "xy":
+        values = _along("ring", axis)
+        for above in (False, True):
+            beside = F.array_min(values) >= F.col("bound") if above else F.array_max(values) <= F.col("bound")
+            mine = F.col("cut") == f"{axis}{int(above)}"
+            ring = F.when(mine & ~beside, clip_ring(F.col("ring"), axis, F.col("bound"), above)).otherwise(ring)
+    cut = cut.withColumn("ring", ring).filter(F.size("ring") > 0)
+    for axis in "xy":
+        first, last = _cells_of("ring", axis, side, radius)
+        cut = cut.withColumns(
+            {f"{axis}_lo": F.greatest(f"{axis}_lo", first), f"{axis}_hi": F.least(f"{axis}_hi", last)}
+        )
+    return cut.filter("x_lo <= x_hi and y_lo <= y_hi").select(*pieces.columns)
 
 
 def _clipped_edges(polygons: DataFrame, radius: float) -> DataFrame:
@@ -78,22 +144,7 @@ def _clipped_edges(polygons: DataFrame, radius: float) -> DataFrame:
     turned = rings.select(
         *first_class, F.when(against, F.reverse("ring")).otherwise(F.col("ring")).alias("ring")
     )
-    # Cutting is heavy for its few bytes of input, so the number of tasks is not left to AQE.
-    tasks = int(shaped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = turned.repartition(tasks, "poly_id")
-    for axis in ("x", "y"):
-        cell = f"cell_{axis}"
-        number = [
-            F.floor((F.col("_range.lo") - radius) / side).cast("bigint"),
-            F.floor((F.col("_range.hi") + radius) / side).cast("bigint"),
-        ]
-        pieces = (
-            pieces.withColumn("_range", F.struct(*_range(axis)))
-            .withColumn(cell, F.explode(F.sequence(*number)))
-            .withColumn("ring", _clipped(axis, F.col(cell) * side - reach, True))
-            .withColumn("ring", _clipped(axis, (F.col(cell) + 1) * side + reach, False))
-            .drop("_range")
-        )
+    pieces = _cell_pieces(turned, first_class, side, radius, reach)
     ends = F.zip_with(
         "ring", rotated(F.col("ring")), lambda p, q: F.struct(p.alias("p"), q.alias("q"))
     )
