@@ -16,6 +16,7 @@ HALVES = 16  # half keys in each of the two collections: 256 tables from 96 mini
 SEED = 20240229
 STRAY_SHINGLES = 200_000  # in a block of classes that are compared with blocks of others
 MEMBER_SHINGLES = 800_000
+BLOCK_CELLS = 1 << 22  # pairs whose common shingles are counted at once
 
 
 def shingle_set(text: bytes | None, words: int, cache: WordHashes) -> np.ndarray:
@@ -225,9 +226,19 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _links_between(strays: pa.Table, others: pa.Table, percent: int):
-    """Of each stray, one link to each other component: ids of both ends."""
+    """Of each stray, one link to each other component: ids of both ends. The common shingles are
+    counted for so many strays at a time that the counts stay below BLOCK_CELLS."""
     order = np.argsort(others.column("set_id").to_numpy(zero_copy_only=False))
     others = others.take(pa.array(order))
+    step, a, b = max(1, BLOCK_CELLS // others.num_rows), [], []
+    for begin in range(0, strays.num_rows, step):
+        left, right = _counted_links(strays.slice(begin, step), others, percent)
+        a += left
+        b += right
+    return a, b
+
+
+def _counted_links(strays: pa.Table, others: pa.Table, percent: int):
     values, owners, sizes = zip(*[_flat(t.column("shingles")) for t in (strays, others)], strict=True)
     shared = np.intersect1d(values[0], values[1])
     both = []
