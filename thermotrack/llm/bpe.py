@@ -12,18 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermotrack.llm.common import packed, saved, unpacked
-from thermotrack.llm.hashing import slices
 
 PART_CHARS = 1 << 15  # longer texts are cut, encoded in parallel and joined again
 WINDOW_CHARS = 1 << 6  # on either side of a join at first
 RUN_CHARS = 1 << 10  # longer runs without a safe cut are split and joined again
 LEAF_BYTES = 1 << 8
+SLICE_BYTES = 1 << 20
 DECODED_ROWS = 256
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class ByteBpe:
-    """A byte-level BPE vocabulary file of the tokenizers library (ids in the order of its merges)."""
+class Vocabulary:
+    """The tokens of a byte-level BPE vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -31,22 +31,40 @@ class ByteBpe:
         kinds = (content["normalizer"], content["pre_tokenizer"]["type"], content["model"]["type"])
         if kinds != (None, "ByteLevel", "BPE") or content["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
-        special = {t["content"]: t["id"] for t in content["added_tokens"]}
+        special = self.special_id = {t["content"]: t["id"] for t in content["added_tokens"]}
         byte_of = _byte_alphabet()
-        ranks = {bytes(byte_of[c] for c in token): i
-                 for token, i in content["model"]["vocab"].items() if token not in special}
-        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.pattern = regex.compile(PATTERN)
+        ranks = self.ranks = {bytes(byte_of[c] for c in token): i
+                              for token, i in content["model"]["vocab"].items() if token not in special}
         size = max([*ranks.values(), *special.values()]) + 1
         self.bytes_of = [b""] * size
         for token, i in ranks.items():
             self.bytes_of[i] = token
         for token, i in special.items():
             self.bytes_of[i] = token.encode()
-        self.length_of = np.array([len(b) for b in self.bytes_of], np.int64)
         self.tokens = pa.array(self.bytes_of, pa.binary())
+
+    def decode(self, ids: pa.ListArray) -> list[str]:
+        """The texts of lists of ids: the bytes of all tokens lie one after the other in one buffer."""
+        flat = self.tokens.take(ids.flatten())
+        if not len(flat):
+            return [""] * len(ids)
+        data = flat.buffers()[2].to_pybytes() if flat.buffers()[2] else b""
+        begins = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
+        lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        ends = begins[np.cumsum(np.concatenate([[0], lengths]))]
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
+
+
+class ByteBpe(Vocabulary):
+    """Encoding by the vocabulary, whose ids are in the order of its merges."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        special = self.special_id
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens=special)
+        self.pattern = regex.compile(PATTERN)
+        self.length_of = np.array([len(b) for b in self.bytes_of], np.int64)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.special_id = special
         self.special_chars = max(map(len, special), default=0)
         self.long_run = re.compile(rf"\s*\S{{{RUN_CHARS},}}|\s{{{RUN_CHARS},}}\S*")
 
@@ -184,16 +202,6 @@ class ByteBpe:
                 return left[: max(0, len(left) - size)] + window + right[size:]
             size *= 2
 
-    def decode(self, ids: pa.ListArray) -> list[str]:
-        """The texts of lists of ids: the bytes of all tokens lie one after the other in one buffer."""
-        flat = self.tokens.take(ids.flatten())
-        if not len(flat):
-            return [""] * len(ids)
-        data = flat.buffers()[2].to_pybytes() if flat.buffers()[2] else b""
-        begins = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
-        ends = begins[np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)]))]
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
-
 
 def _ids_before(length_of: np.ndarray, ids: np.ndarray, size: int) -> int:
     """Number of ids whose tokens are the first `size` bytes."""
@@ -210,6 +218,16 @@ def _byte_alphabet() -> dict[str, int]:
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 
 
+def byte_slices(batch: pa.RecordBatch, most: int = SLICE_BYTES):
+    """Slices of a batch of at most some `most` bytes of text (at least a row), to hold little at once."""
+    sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    begin = done = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(sizes, done + most, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin, done = end, int(sizes[end - 1])
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
     """Columns of docs, and ids array<int>: each whole text in the ids of the vocabulary file.
 
@@ -226,10 +244,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", part_chars: int = PAR
     def short(batches):
         bpe = ByteBpe(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for begin, end in slices(texts):
-                yield pa.record_batch([batch.column("row").slice(begin, end - begin),
-                                       _lists([bpe.encode(t) for t in texts[begin:end]])], names=["row", "ids"])
+            for part in byte_slices(batch):
+                ids = [bpe.encode(t.as_py()) for t in part.column("text")]
+                yield pa.record_batch([part.column("row"), _lists(ids)], names=["row", "ids"])
 
     def parts(batches):
         for batch in batches:
@@ -282,7 +299,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 def decode(encoded: DataFrame, path: str, ids: str = "ids", output: str = "decoded") -> DataFrame:
     """Columns of encoded, and the text of its ids; special tokens give their strings, null gives ''."""
     def run(batches):
-        bpe = ByteBpe(path)
+        bpe = Vocabulary(path)
         for batch in batches:
             rows = batch.column("ids")
             for begin in range(0, len(rows), DECODED_ROWS):
