@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import thermotrack as tt
+from thermotrack.operators.interpolation import _maybe_wanted
 from thermotrack.operators.leaves import DEEPEST, LEAF_KEY, STEP, TriangleLeaves
 from thermotrack.plans import sided_join
 
@@ -139,3 +140,19 @@ def test_reports_every_second(spark, limit):
             assert (said.t_ground_0, said.delta_t) == last[1:]
     assert {(r.vertex, r.station) for r in every} == {("a", 1), ("b", 2)}
     assert {round(r.weight, 9) for r in every} == {0.5, 0.25}
+
+
+@pytest.mark.parametrize(("most", "buckets"), [(1 << 20, 40), (64, 5_000), (2, 40), (1, 3_000_000)])
+def test_reports_that_no_pair_wants_are_left_out_before_the_join(spark, most, buckets):
+    r = random.Random(most)
+    asked = {(r.choice((3, 5, None, 8)), r.randrange(-buckets, buckets)) for _ in range(60)}
+    wanted = spark.createDataFrame(sorted(asked, key=str), "_station long, _report_bucket long")
+    others = {(s, r.randrange(-buckets, buckets)) for s in range(200) for _ in range(5)}
+    reports = spark.createDataFrame(sorted(asked | others, key=str), "_station long, _report_bucket long")
+    left = {tuple(row) for row in _maybe_wanted(reports.union(reports), wanted, most).collect()}
+    assert asked <= left
+    assert left <= asked | others
+    if most == 1 << 20:
+        assert left == asked
+    twice = _maybe_wanted(reports.union(reports), wanted, most).filter("_station = 3").count()
+    assert twice == 2 * len({k for k in left if k[0] == 3})

@@ -27,6 +27,12 @@ REFERENCE_CARRY = ("thermo_name", "sensor_name", "unique_id_track")
 
 _VERTICES = ("a", "b", "c")
 
+# Fixed values of the filter of reports: rows it has at most, buckets that a row tells apart, and the
+# number of buckets that one of its bits stands for, from fine to coarse.
+FILTER_ROWS = 1 << 20
+FILTER_BITS = 62
+FILTER_GRAINS = (1, 16, 256, 4096)
+
 
 def _edge_side(u: str, v: str, x: Column, y: Column) -> Column:
     return edge_side(*[F.col(f"{axis}_{end}") for end in (u, v) for axis in ("x", "y")], x, y)
@@ -200,11 +206,39 @@ def _reports_of_pairs(bucketed: DataFrame, reports: DataFrame, window_us: int) -
         .withColumn("_report_bucket", F.explode(F.array(F.col("_bucket") - 1, F.col("_bucket"))))
     )
     few = is_small(wanted, 6 * n)
-    return reports.withColumn("_report_bucket", F.floor(F.col("_at") / window_us).cast("bigint")).join(
+    keyed = reports.withColumn("_report_bucket", F.floor(F.col("_at") / window_us).cast("bigint"))
+    return _maybe_wanted(keyed, wanted).join(
         F.broadcast(wanted) if few else shuffled(wanted), ["_station", "_report_bucket"]
     ).drop("_report_bucket")
 
 
+def _maybe_wanted(reports: DataFrame, wanted: DataFrame, most: int = FILTER_ROWS) -> DataFrame:
+    """reports without most of those whose (_station, _report_bucket) is not wanted, so that an archive
+    much larger than what the points ask for is not shuffled; none that is wanted is lost.
+
+    Two filters of at most `most` rows each are broadcast, whatever the session's bound for tables says:
+    the stations, by a hash of so many values, before anything else is worked out of a report; and for
+    each of these and each span of buckets one number with a bit per bucket. Where the spans are too
+    many, a bit stands for more buckets; beyond the coarsest grain only the stations count.
+    """
+    group = F.pmod(F.xxhash64("_station"), F.lit(most)).alias("_group")
+    keys = checkpointed(wanted.select(group, "_report_bucket").distinct())
+    stations = keys.select("_group").distinct()
+    of_station = F.pmod(F.xxhash64(reports["_station"]), F.lit(most)) == stations["_group"]
+    kept = reports.join(F.broadcast(stations), of_station, "left_semi")
+    for grain in FILTER_GRAINS:
+        place = F.floor(F.col("_report_bucket") / grain).cast("bigint")
+        span = F.floor(place / FILTER_BITS).cast("bigint").alias("_span")
+        bit = F.expr("shiftleft(1L, cast(_bit as int))")
+        marked = keys.select("_group", span, F.pmod(place, F.lit(FILTER_BITS)).alias("_bit"))
+        spans, n = checkpointed_count(marked.groupBy("_group", "_span").agg(F.bit_or(bit).alias("_bits")))
+        if n <= most:
+            asked = kept.select("*", group, span, F.pmod(place, F.lit(FILTER_BITS)).alias("_bit"))
+            found = asked.join(F.broadcast(spans), ["_group", "_span"]).filter(F.col("_bits").bitwiseAND(bit) != 0)
+            return found.select(*reports.columns)
+    return kept
+
+
 def _segments(found: DataFrame) -> DataFrame:
     """Half-open spans [_from, _until) of each pair's time between two instants of reports, with the
     last report of each vertex station so far.
