@@ -351,3 +351,23 @@ def test_large_ring_is_cut_in_halves(spark, quad_segs):
     inner = [(u, v) for u, v in grid if in_buffer(u, v, quad_segs)]
     hits = sum(inside([*near, (0.0, 0.0)], x + u, y + v) for u, v in inner)
     assert got[2] == pytest.approx(hits / len(inner), abs=0.02)
+
+
+@pytest.mark.parametrize("limit", ["157286400", "0"])
+def test_tasks_of_land_cover_follow_the_number_of_points(spark, monkeypatch, limit):
+    square = [(0.0, 0.0), (900.0, 0.0), (900.0, 900.0), (0.0, 900.0), (0.0, 0.0)]
+    polygons = spark.createDataFrame([(1, 3, [square])], "poly_id long, lcz_primary int, rings_3857 array<array<struct<x:double,y:double>>>")
+    points = spark.range(600).select("id", (F.col("id") % 30 * 30.0).alias("x3857"), (F.col("id") * 1.5).alias("y3857"))
+    spark.conf.set(sided_join.BROADCAST_SETTING, limit)
+    try:
+        whole = sorted(tt.overlap_fraction(points, polygons).collect())
+        monkeypatch.setattr(landcover, "TASK_POINTS", 20)
+        areas = landcover._areas(points, polygons, 100.0, 8)
+        per_task = areas.select("id", F.spark_partition_id().alias("task")).distinct().groupBy("task").count()
+        assert per_task.agg(F.max("count")).first()[0] <= 150
+        assert per_task.count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = sorted(tt.overlap_fraction(points, polygons).collect())
+    finally:
+        spark.conf.unset(sided_join.BROADCAST_SETTING)
+    assert [r[:3] for r in dealt] == [r[:3] for r in whole]
+    assert [r[3] for r in dealt] == pytest.approx([r[3] for r in whole], abs=1e-12)

@@ -9,7 +9,7 @@ from thermotrack.functions.clip import clip_ring, ring_area2, rotated
 from thermotrack.functions.geo import mercator_x, mercator_y
 from thermotrack.functions.overlap import buffer_area, with_edge_area
 from thermotrack.plans.checkpoints import checkpointed
-from thermotrack.plans.sided_join import is_small, join_on_cell
+from thermotrack.plans.sided_join import is_small, join_on_cell, tasks_for
 
 # Class codes with a column of their own, and their groups.
 LCZ_CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 101, 102, 103, 104, 105, 106, 107)
@@ -24,6 +24,7 @@ QUAD_SEGS = 8  # a buffer drawn with 8 segments per quarter circle
 TOUCH = 1e-9  # a share up to this is a polygon that only touches the buffer
 RANK_DIGITS = 9
 STEPS_PER_SHUFFLE = 4
+TASK_POINTS = 50_000  # a point comes with some dozens of edges and the sums of its polygons
 _CELL = ("cell_x", "cell_y")
 
 
@@ -171,7 +172,9 @@ def _edge_areas(points: DataFrame, edges: DataFrame, radius: float, quad_segs) -
 
     For a broadcast join the points are spread by id while they are still one row each: the join
     keeps that, so sums per point need no further shuffle and points of one place are not together
-    in one task. A shuffled join spreads by cell and salt, which serves the sums as well.
+    in one task. A shuffled join spreads by cell and salt, which serves the sums as well. Either way the
+    number of tasks follows the number of points and is not left to AQE, as a point is a few bytes
+    but much work, and its sums stay in memory until its task ends.
     """
     side = 2.0 * radius
     celled = points.withColumns(
@@ -181,9 +184,10 @@ def _edge_areas(points: DataFrame, edges: DataFrame, radius: float, quad_segs) -
         }
     )
     rows = edges.count()
+    tasks = tasks_for(celled, celled.count(), TASK_POINTS)
     if is_small(edges, rows):
-        celled = celled.repartition("id")
-    joined = join_on_cell(celled, edges, _CELL, "id", rows).filter(
+        celled = celled.repartition(tasks, "id")
+    joined = join_on_cell(celled, edges, _CELL, "id", rows, tasks).filter(
         (F.col("x3857") + radius >= F.col("x_lo"))
         & (F.col("x3857") - radius <= F.col("x_hi"))
         & (F.col("y3857") + radius >= F.col("y_lo"))

@@ -18,19 +18,31 @@ def is_small(df: DataFrame, rows: int) -> bool:
     return rows * (16 + df._jdf.schema().defaultSize()) <= most
 
 
-def join_on_cell(large: DataFrame, small: DataFrame, keys, large_id: str, small_rows: int):
+def join_on_cell(large: DataFrame, small: DataFrame, keys, large_id: str, small_rows: int, tasks: int | None = None):
     """Inner equi-join. A counted small side is broadcast, so the large side does not move and a
     hot key costs nothing. Beyond the bound both sides are shuffled on (key, _salt), where only the
     rows of hot keys have a salt other than 0, see `salted`. The column `_salt` stays, to let later
-    groupings by it keep the partitioning.
+    groupings by it keep the partitioning. A shuffled join has just so many tasks, if given; else
+    their number is left to Spark.
     """
     if is_small(small, small_rows):
         return large.join(F.broadcast(small), list(keys))
-    large, small = salted(large, small, keys, large_id)
+    large, small = salted(large, small, keys, large_id, tasks)
+    if tasks is not None:
+        large, small = (df.repartition(tasks, *keys, "_salt") for df in (large, small))
     return large.join(shuffled(small), [*keys, "_salt"])
 
 
-def salted(large: DataFrame, small: DataFrame, keys, large_id: str) -> tuple[DataFrame, DataFrame]:
+def tasks_for(df: DataFrame, rows: int, rows_per_task: int) -> int:
+    """Tasks for so many rows: the session's number of shuffle partitions, or as many more as keep a task
+    to some rows_per_task, so that what one task holds doesn't grow with the table.
+    """
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
+
+
+def salted(
+    large: DataFrame, small: DataFrame, keys, large_id: str, tasks: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Both sides with a column `_salt`, so that an equi-join on (keys, _salt) gives the same rows as one
     on keys, and no (key, _salt) has many more rows of large than an even share of a task.
 
@@ -38,7 +50,7 @@ def salted(large: DataFrame, small: DataFrame, keys, large_id: str) -> tuple[Dat
     keys than tasks, so they may be broadcast. Its rows are dealt to as many salts as it has shares, by
     a hash of large_id, and its rows of small are repeated as often. Nothing else is copied.
     """
-    tasks = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks or int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = checkpointed(large.groupBy(*keys).agg(F.count("*").alias("_rows")))
     share = max(1, (counts.agg(F.sum("_rows")).first()[0] or 0) // tasks)
     hot = counts.filter(F.col("_rows") > share).select(
