@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import thermotrack as tt
-from thermotrack.functions.delaunay import local_delaunay
+from thermotrack.functions.delaunay import _curve_order, local_delaunay
 from thermotrack.functions.overlap import buffer_area
 from thermotrack.operators import landcover, triangulation
 from thermotrack.plans import sided_join
@@ -371,3 +371,24 @@ def test_tasks_of_land_cover_follow_the_number_of_points(spark, monkeypatch, lim
         spark.conf.unset(sided_join.BROADCAST_SETTING)
     assert [r[:3] for r in dealt] == [r[:3] for r in whole]
     assert [r[3] for r in dealt] == pytest.approx([r[3] for r in whole], abs=1e-12)
+
+
+def test_look_up_and_tasks_stay_small_where_tiles_are_large(spark, monkeypatch):
+    monkeypatch.setattr(triangulation, "LOOKUP_POINTS", 20)
+    places = spots("random", 400)
+    points = stations(spark, places).select(F.col("numer_insee").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    extent = points.agg(*[f(c).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))]).first()
+    rounds = triangulation.TileRounds(points, extent, 150)
+    assert rounds.lookup.groupBy(*triangulation.TILE).count().agg(F.max("count")).first()[0] <= 20
+    assert rounds.stations.groupBy(*triangulation.TILE).count().agg(F.max("count")).first()[0] > 20
+    got = sorted((r["sa"], r["sb"], r["sc"]) for r in rounds.triangles().collect())
+    local, _ = local_delaunay(list(places), *zip(*places.values(), strict=True))
+    assert got == sorted(tuple(sorted(t)) for t in local)
+
+
+def test_order_of_insertion_stays_local_beside_far_stations():
+    near = {k: (k % 30 + 0.1 * (k % 7), k // 30 + 0.1 * (k % 5)) for k in range(900)}
+    order = _curve_order(near | {900: (1e6, 1e6), 901: (-1e6, -1e6)})
+    steps = [math.dist(near[a], near[b]) for a, b in zip(order, order[1:], strict=False) if a < 900 and b < 900]
+    assert sorted(order) == list(range(902))
+    assert sum(steps) < 6 * len(steps)

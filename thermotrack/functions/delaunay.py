@@ -6,6 +6,7 @@ Signs are taken from floats where they are certain and from exact integers other
 collinear and cocircular points need no tolerance.
 """
 
+import math
 from fractions import Fraction
 
 
@@ -155,14 +156,12 @@ def _turn(points, order, k) -> int:
 
 
 def _curve_order(points):
-    """Ids along a snake of rows, so that the next point lies near the last one."""
-    x0, y0 = (min(p[i] for p in points.values()) for i in (0, 1))
-    x1, y1 = (max(p[i] for p in points.values()) for i in (0, 1))
-    rows = max(1, int((len(points) / 2) ** 0.5))
-    height = (y1 - y0) / rows or 1.0
-
-    def place(i):
-        row = int((points[i][1] - y0) / height)
-        return row, points[i][0] if row % 2 == 0 else -points[i][0], i
-
-    return sorted(points, key=place)
+    """Ids along a snake of rows of as many points each, so that the next point lies near the last one,
+    also where a few points lie far from all others.
+    """
+    upwards = sorted(points, key=lambda i: (points[i][1], points[i][0], i))
+    width = max(1, math.ceil((2 * len(points)) ** 0.5))
+    order = []
+    for row, begin in enumerate(range(0, len(upwards), width)):
+        order += sorted(upwards[begin : begin + width], key=lambda i: (points[i][0], i), reverse=row % 2 == 1)
+    return order

@@ -22,6 +22,7 @@ from thermotrack.plans.slices import slice_offsets
 
 TILE_POINTS = 2000  # at most; few stations are dealt to smaller tiles
 LEAST_POINTS = 12
+LOOKUP_POINTS = 256  # at most, in a cell in which stations are looked up, however large the tiles are
 DEEPEST_LEVEL = 24
 LEVEL_STEP = 1
 TILE = ("leaf", "tx", "ty")
@@ -115,24 +116,32 @@ def leaf_tiles(points: DataFrame, extent, tile_points: int) -> DataFrame:
     )
 
 
+def _in_tiles(points: DataFrame, extent, tile_points: int) -> DataFrame:
+    """Points with the tile of `leaf_tiles` that each one lies in."""
+    shift = F.lit(DEEPEST_LEVEL) - F.col("leaf")
+    tile = {"tx": F.call_function("shiftright", "cx", shift), "ty": F.call_function("shiftright", "cy", shift)}
+    return leaf_tiles(points, extent, tile_points).withColumns(tile).select(*TILE, "cx", "cy", "id", "x", "y")
+
+
 class TileRounds:
     """The rounds of tiles over points (id, x, y); `members` are the stations of the tiles in each round."""
 
     def __init__(self, points: DataFrame, extent, tile_points: int):
         self.extent, self.side = extent, _side(extent)
-        shift = F.lit(DEEPEST_LEVEL) - F.col("leaf")
-        leaves = leaf_tiles(points, extent, tile_points)
-        tile = {"tx": F.call_function("shiftright", "cx", shift), "ty": F.call_function("shiftright", "cy", shift)}
-        self.stations = checkpointed(leaves.withColumns(tile).select(*TILE, "cx", "cy", "id", "x", "y"))
-        self.tiles, self.n_tiles = checkpointed_count(self._tile_boxes())
+        self.stations = checkpointed(_in_tiles(points, extent, tile_points))
+        # the cells that circles and edges are held against: as large as a tile, or smaller
+        self.lookup = self.stations
+        if tile_points > LOOKUP_POINTS:
+            self.lookup = checkpointed(_in_tiles(points, extent, LOOKUP_POINTS))
+        self.boxes, self.n_boxes = checkpointed_count(self._lookup_boxes())
         self.grain = 1e-14 * max(abs(extent[c]) for c in ("x0", "x1", "y0", "y1"))  # of the coordinates
         self.members: list[DataFrame] = []
 
-    def _tile_boxes(self) -> DataFrame:
-        """Each tile with the box of its stations and the levels under which it is looked up: as a part
-        of every cell above it, and as a leaf.
+    def _lookup_boxes(self) -> DataFrame:
+        """Each leaf of the look-up with the box of its stations and the levels under which it is looked
+        up: as a part of every cell above it, and as a leaf.
         """
-        boxes = self.stations.groupBy(*TILE).agg(
+        boxes = self.lookup.groupBy(*TILE).agg(
             F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
         )
         above = F.transform(
@@ -257,14 +266,17 @@ class TileRounds:
             out["n"] = np.arange(len(out))
             return out
 
-        return checkpointed(members.groupBy(*TILE).applyInPandas(one_tile, _ELEMENT))
+        # a tile is few bytes and much work, so the number of tasks is not left to AQE
+        tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return checkpointed(members.repartition(tasks, *TILE).groupBy(*TILE).applyInPandas(one_tile, _ELEMENT))
 
     def _offenders(self, doubtful: DataFrame) -> DataFrame:
         """Of the stations in each circle and beyond each edge the deepest one and those nearest to the
         middles of the sides: (leaf, tx, ty, id, x, y), distinct.
 
-        An element is cut to the few cells of the level that fits its size. It meets the tiles in these
-        cells, and tiles as large as the cells above; of them those whose box it touches, and their stations.
+        An element is cut to the few cells of the level that fits its size. It meets the look-up's leaves in
+        these cells, and leaves as large as the cells above; of them those whose box it touches, and their
+        stations. A leaf is small even if tiles are large: an element never meets a whole tile's stations.
         """
         side, cells = F.lit(self.side), 1 << DEEPEST_LEVEL
         low_x, low_y = F.lit(self.extent["x0"]), F.lit(self.extent["y0"])
@@ -300,7 +312,7 @@ class TileRounds:
         )
         looked_up = F.concat(keys(F.col("_level"), False), F.flatten(F.transform(coarser, lambda at: keys(at, True))))
         cut = placed.withColumn("_k", F.explode(looked_up)).select(*doubtful.columns, "_k.*")
-        boxes = F.broadcast(self.tiles) if is_small(self.tiles, 8 * self.n_tiles) else shuffled(self.tiles)
+        boxes = F.broadcast(self.boxes) if is_small(self.boxes, 8 * self.n_boxes) else shuffled(self.boxes)
         met = cut.join(boxes, ["level", "kx", "ky", "as_leaf"])
         away_x = F.greatest(F.col("x0") - F.col("ox"), F.col("ox") - F.col("x1"), F.lit(0.0))
         away_y = F.greatest(F.col("y0") - F.col("oy"), F.col("oy") - F.col("y1"), F.lit(0.0))
@@ -315,7 +327,7 @@ class TileRounds:
             )
         )
         met = met.select(*doubtful.columns, *[f"o_{c}" for c in TILE]).distinct()
-        stations = self.stations.select(*[F.col(c).alias(f"o_{c}") for c in TILE], "id", "x", "y")
+        stations = self.lookup.select(*[F.col(c).alias(f"o_{c}") for c in TILE], "id", "x", "y")
         pairs = met.join(shuffled(stations), [f"o_{c}" for c in TILE])
         # how deep a station lies inside, and within what the floats can be wrong
         turn = dx * (F.col("y") - F.col("ay")) - dy * (F.col("x") - F.col("ax"))
