@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from thermotrack.llm import minhash, quality, toxicity
+from thermotrack.llm import hashing, minhash, quality, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -136,3 +136,18 @@ def test_counts_of_templated_pages_are_bounded(monkeypatch):
     monkeypatch.setattr(minhash.np, "zeros", counted)
     assert minhash._links_between(strays, others, 75) == want and len(want[0]) > 50
     assert max(cells) <= 1000 and len(cells) == 20
+
+
+def test_tasks_remember_few_words():
+    words = [f"w{i}" for i in range(2 * hashing.REMEMBERED)]
+    weights = toxicity._Weights(toxicity.ToxicityModel(-6.0, {toxicity._Features()["w7"][0]: 2.0}))
+    hashes = hashing.WordHashes()
+    for word in words:
+        weights[word], hashes[word.encode()]
+    assert max(map(len, (weights, weights.features, hashes))) <= hashing.REMEMBERED + 4 <= 1 << 17
+    assert weights["w7"] == 2.0 and weights["."] == float("inf")
+    assert hashes[b"w7"] == hashing.WordHashes()[b"w7"]
+
+
+def test_released_keeps_the_batches():
+    assert list(hashing.released(lambda batches: (b + 1 for b in batches))([1, 2, 3])) == [2, 3, 4]

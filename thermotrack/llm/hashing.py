@@ -1,18 +1,38 @@
 """Vectorised 64-bit hashes of words and word windows, for use inside tasks."""
 
+import ctypes
+import functools
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BATCH_BYTES = 4 << 20
+REMEMBERED = 1 << 16  # words a task remembers: a worker keeps some 10 MB for them, the commonest come back at once
+
+
+def released(run):
+    """run for mapInArrow, giving back at the end of a task what Arrow and the allocator keep for later use: an
+    idle worker stays beside the executor's JVM through the stages that follow."""
+    @functools.wraps(run)
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, TypeError, AttributeError):  # another C library
+            pass
+
+    return task
 
 
 class WordHashes(dict):
     """Hash of each word, remembered up to a number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermotrack.llm.common import components, null_safe, packed, saved, sized, unpacked
-from thermotrack.llm.hashing import BASE, WordHashes, mixed, slices, window_hashes, words_of
+from thermotrack.llm.hashing import BASE, WordHashes, mixed, released, slices, window_hashes, words_of
 
 WORDS = 5
 PERCENT = 75
@@ -90,6 +90,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 def _signatures(texts: DataFrame, words: int, rows: int, halves: int) -> DataFrame:
     """id, n_shingles, set_id (128 bits of the whole set), half keys a and b of either collection."""
+    @released
     def run(batches):
         cache = WordHashes()
         rng = np.random.default_rng(SEED)
@@ -271,6 +272,7 @@ def _flat(column):
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
+    @released
     def run(batches):
         cache = WordHashes()
         for batch in batches:

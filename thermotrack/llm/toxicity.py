@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermotrack.llm.common import packed, saved, unpacked
+from thermotrack.llm.hashing import REMEMBERED, released
 from thermotrack.llm.labels import is_held_out, learned_labels
 
 SAMPLE_DOCS = 3000  # of either label at most
@@ -48,7 +49,7 @@ class _Weights(dict):
             self[end] = np.inf
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) >= REMEMBERED:
             self.clear()
             self._ends()
         self[word] = value = sum(self.model.weights.get(f, 0.0) for f in self.features[word])
@@ -59,7 +60,7 @@ class _Features(dict):
     """Hashes of a word and of its beginnings (0 for one as long as the word)."""
 
     def __missing__(self, word: str) -> tuple:
-        if len(self) > 500_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         own = xxhash.xxh32_intdigest(word)
         self[word] = value = (own, *(xxhash.xxh32_intdigest(f"{word[:n]}-") if len(word) > n else 0 for n in PREFIXES))
@@ -151,6 +152,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_D
     return model
 
 
+@released
 def _hashed(batches):
     """place, label, features of the different words of each sentence, number of words of each sentence."""
     features = _Features()
@@ -268,14 +270,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
     whole text. toxic_spans locate the sentences that offend, for documents at or over the
     threshold: begin, end in code points, score. Texts without words, null ones too, score 0.
     """
-    whole = packed(docs, text=F.col(text))
+    whole = packed(docs)
+    at = [c.lower() for c in docs.columns].index(text.lower())  # texts travel once, within their rows
 
+    @released
     def run(batches):
         weights = _Weights(model)
         for batch in batches:
             scores, spans = [], []
-            for t in batch.column("text").to_pylist():
-                t = t or ""
+            for value in batch.column("row").field(at):
+                t = value.as_py() or ""
                 score = noisy_or(sentence_sums(_TOKEN.findall(t.lower()), weights), model.bias)
                 scores.append(score)
                 spans.append(toxic_spans(t, weights, model.bias) if score >= threshold else [])
