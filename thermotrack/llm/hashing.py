@@ -10,7 +10,7 @@ import xxhash
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BATCH_BYTES = 4 << 20
-REMEMBERED = 1 << 16  # words a task remembers: a worker keeps some 10 MB for them, the commonest come back at once
+REMEMBERED = 1 << 16  # words that a task remembers; a forgotten one is hashed again
 
 
 def released(run):
