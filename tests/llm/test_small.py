@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,6 +191,15 @@ def test_bpe(docs, empty):
     assert bpe.encode(empty, registry.vocabulary()).count() == 0
 
 
+def test_bpe_sends_short_texts_once(docs):
+    """Tasks get a text within its row only, not beside it as well; the name of the column may differ in case."""
+    ids = bpe.encode(docs, registry.vocabulary(), text="TEXT")
+    assert re.search(r"MapInArrow short\(row#\d+\)", ids._jdf.queryExecution().analyzed().toString())
+    library = Tokenizer.from_file(registry.vocabulary())
+    for r in ids.collect():
+        assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids
+
+
 def test_bpe_joins():
     own, library = bpe.ByteBpe(registry.vocabulary()), Tokenizer.from_file(registry.vocabulary())
     r = random.Random(7)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermotrack.llm.common import packed, saved, unpacked
+from thermotrack.llm.hashing import released
 
 PART_CHARS = 1 << 15  # longer texts are cut, encoded in parallel and joined again
 WINDOW_CHARS = 1 << 6  # on either side of a join at first
@@ -218,13 +219,13 @@ def _byte_alphabet() -> dict[str, int]:
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 
 
-def byte_slices(batch: pa.RecordBatch, most: int = SLICE_BYTES):
-    """Slices of a batch of at most some `most` bytes of text (at least a row), to hold little at once."""
-    sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+def byte_slices(rows: pa.StructArray, at: int, most: int = SLICE_BYTES):
+    """Slices of rows of at most some `most` bytes in the text at that place (at least a row), to hold little at once."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(rows.field(at)), 0).to_numpy(zero_copy_only=False))
     begin = done = 0
-    while begin < batch.num_rows:
+    while begin < len(rows):
         end = max(begin + 1, int(np.searchsorted(sizes, done + most, side="right")))
-        yield batch.slice(begin, end - begin)
+        yield rows.slice(begin, end - begin)
         begin, done = end, int(sizes[end - 1])
 
 
@@ -237,17 +238,20 @@ def encode(docs: DataFrame, path: str, text: str = "text", part_chars: int = PAR
     A null text is an empty one and has no ids; repeated rows stay; an empty table gives an empty one.
     The file is read on the executors, so path must be there on each of them.
     """
-    whole = packed(docs, text=F.coalesce(F.col(text), F.lit("")))
-    is_long = F.length("text") > part_chars
-    kind = whole.schema["row"].dataType.simpleString()
+    is_long = F.coalesce(F.length(F.col(text)) > part_chars, F.lit(False))
+    short_rows, long_rows = packed(docs.filter(~is_long)), packed(docs.filter(is_long), text=F.col(text))
+    kind = short_rows.schema["row"].dataType.simpleString()
+    at = [c.lower() for c in docs.columns].index(text.lower())  # most texts travel once, within their rows
 
+    @released
     def short(batches):
         bpe = ByteBpe(path)
         for batch in batches:
-            for part in byte_slices(batch):
-                ids = [bpe.encode(t.as_py()) for t in part.column("text")]
-                yield pa.record_batch([part.column("row"), _lists(ids)], names=["row", "ids"])
+            for rows in byte_slices(batch.column("row"), at):
+                ids = [bpe.encode(t.as_py() or "") for t in rows.field(at)]
+                yield pa.record_batch([rows, _lists(ids)], names=["row", "ids"])
 
+    @released
     def parts(batches):
         for batch in batches:
             for i, (key, t) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True)):
@@ -257,6 +261,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", part_chars: int = PAR
                                        pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())],
                                       names=["row", "key", "number", "part"])
 
+    @released
     def part_ids(batches):
         bpe = None
         for batch in batches:
@@ -279,9 +284,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", part_chars: int = PAR
                      for a, b in zip(level[::2], [*level[1::2], None], strict=False)]
         return pa.table({"row": table.column("row").slice(0, 1).combine_chunks(), "ids": _lists([level[0][1]])})
 
-    encoded = whole.filter(~is_long).mapInArrow(short, f"row {kind}, ids array<int>")
+    encoded = short_rows.mapInArrow(short, f"row {kind}, ids array<int>")
     long = saved(
-        whole.filter(is_long).withColumn("key", F.monotonically_increasing_id())
+        long_rows.withColumn("key", F.monotonically_increasing_id())
         .mapInArrow(parts, f"row {kind}, key bigint, number int, part string"))
     rejoined = (
         long.repartition("key", "number")
